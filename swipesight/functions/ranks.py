@@ -29,11 +29,14 @@ def running_totals(
     totals: Sequence[str],
     by: Sequence[str] = (),
     ranges: int = RANGES,
+    keep_range: Column | None = None,
 ) -> DataFrame:
     """Add `<c>_through` (sum of c up to and with this row) and `<c>_all` for each c in `totals`.
 
     `counts` holds one row per (by, order). `by` must be a short, known list of groups (labels,
     column names): its tables of cuts and offsets, `ranges` rows per group, are broadcast.
+    `keep_range` drops whole ranges before their rows are shuffled; it may use `_<c>_below`, `_<c>`
+    (the total of the range) and `<c>_all`.
     """
     by = list(by)
     group = [*by] or ["_all"]
@@ -48,24 +51,23 @@ def running_totals(
 
     below = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    per_range = placed.groupBy(*group, "_range").agg(*[F.sum(t).alias(t) for t in totals])
-    offsets = per_range.select(
-        *group,
-        "_range",
-        *[F.coalesce(F.sum(t).over(below), F.lit(0)).alias(f"_{t}_below") for t in totals],
-        *[F.sum(t).over(whole).alias(f"{t}_all") for t in totals],
-    )
+    per_range = placed.groupBy(*group, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
+    offsets = per_range.withColumns({
+        **{f"_{t}_below": F.coalesce(F.sum(f"_{t}").over(below), F.lit(0)) for t in totals},
+        **{f"{t}_all": F.sum(f"_{t}").over(whole) for t in totals},
+    })
+    if keep_range is not None:
+        offsets = offsets.filter(keep_range)
     inside = (
         Window.partitionBy(*group, "_range")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    summed = placed.withColumns({f"_{t}_inside": F.sum(t).over(inside) for t in totals})
-    out = summed.join(F.broadcast(offsets), [*group, "_range"]).withColumns(
-        {f"{t}_through": F.col(f"_{t}_inside") + F.col(f"_{t}_below") for t in totals}
+    offsets = offsets.drop(*[f"_{t}" for t in totals])
+    out = placed.join(F.broadcast(offsets), [*group, "_range"]).withColumns(
+        {f"{t}_through": F.sum(t).over(inside) + F.col(f"_{t}_below") for t in totals}
     )
-    hidden = ["_range", *[f"_{t}_{s}" for t in totals for s in ("inside", "below")]]
-    return out.drop(*hidden, *([] if by else ["_all"]))
+    return out.drop("_range", *[f"_{t}_below" for t in totals], *([] if by else ["_all"]))
 
 
 def quantiles(
@@ -77,12 +79,17 @@ def quantiles(
     """Exact quantiles with linear interpolation: rows (by..., p, q)."""
     by = list(by)
     counts = value_counts(df.select(*by, F.col(value).cast("double").alias("_v")), "_v", by)
-    ranked = running_totals(counts, "_v", ["n"], by)
     wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    place = lambda p: p * (F.col("n_all") - 1)
+
+    def hits(first: Column, last: Column) -> Column:
+        """Quantiles whose neighbouring sorted positions touch first..last (from 0)."""
+        place = lambda p: p * (F.col("n_all") - 1)
+        return F.filter(wanted, lambda p: (F.ceil(place(p)) >= first) & (F.floor(place(p)) <= last))
+
+    touched = F.size(hits(F.col("_n_below"), F.col("_n_below") + F.col("_n") - 1)) > 0
+    ranked = running_totals(counts, "_v", ["n"], by, keep_range=touched)
     first, last = F.col("n_through") - F.col("n"), F.col("n_through") - 1
-    hit = F.filter(wanted, lambda p: (F.ceil(place(p)) >= first) & (F.floor(place(p)) <= last))
-    rows = ranked.withColumn("p", F.explode(hit))
+    rows = ranked.withColumn("p", F.explode(hits(first, last)))
     position = F.col("p") * (F.col("n_all") - 1)
     holds = lambda index: (index >= first) & (index <= last)
     ends = rows.groupBy(*by, "p").agg(

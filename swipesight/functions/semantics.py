@@ -103,3 +103,27 @@ def drop_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def booleans_to_int(df: DataFrame, suffix: str = "") -> DataFrame:
     """Booleans as 0/1, in place or beside the original with a suffix."""
     return df.withColumns({f"{n}{suffix}": flag(n) for n in boolean_columns(df)})
+
+
+def with_row(df: DataFrame, row: DataFrame, name: str = "_row") -> DataFrame:
+    """Attach the only row of a one-row table to every row, as a struct column.
+
+    It becomes one scalar subquery, evaluated once before the main stage.
+    """
+    whole = row.select(F.struct(*[F.col(c) for c in row.columns])).scalar()
+    return df.withColumn(name, whole)
+
+
+def rows_of(columns: dict[str, Sequence[Column]], names: Sequence[str]) -> Column:
+    """Generator turning one wide row into rows: {key: values} with the given field names."""
+    entries = [
+        F.struct(F.lit(key).alias(names[0]), *[v.alias(n) for v, n in zip(values, names[1:])])
+        for key, values in columns.items()
+    ]
+    return F.inline(F.array(*entries))
+
+
+def literal_rows(spark, rows: Sequence[Sequence], names: Sequence[str]) -> DataFrame:
+    """A small constant table built inside the plan, without a Python data source."""
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))
