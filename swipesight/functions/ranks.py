@@ -10,17 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANGES = 64
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **sums: Column) -> DataFrame:
-    """Rows per distinct value: `n`, and any further sums asked for."""
-    keyed = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    extra = [F.sum(c).alias(name) for name, c in sums.items()]
-    return keyed.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **sums: str) -> DataFrame:
+    """Rows per distinct value: `n`, and any further sums asked for, given as SQL expressions."""
+    keyed = df.where(f"{value} IS NOT NULL AND NOT isnan(CAST({value} AS DOUBLE))")
+    extra = [F.expr(f"sum({text})").alias(name) for name, text in sums.items()]
+    return keyed.groupBy(*by, value).agg(F.expr("count(1)").alias("n"), *extra)
 
 
 def running_totals(
@@ -29,7 +29,7 @@ def running_totals(
     totals: Sequence[str],
     by: Sequence[str] = (),
     ranges: int = RANGES,
-    keep_range: Column | None = None,
+    keep_range: str | None = None,
 ) -> DataFrame:
     """Add `<c>_through` (sum of c up to and with this row) and `<c>_all` for each c in `totals`.
 
@@ -38,36 +38,38 @@ def running_totals(
     `keep_range` drops whole ranges before their rows are shuffled; it may use `_<c>_below`, `_<c>`
     (the total of the range) and `<c>_all`.
     """
-    by = list(by)
-    group = [*by] or ["_all"]
-    base = counts if by else counts.withColumn("_all", F.lit(0))
-    probabilities = F.array(*[F.lit((i + 1) / ranges) for i in range(ranges - 1)])
+    group = list(by) or ["_all"]
+    keys = ", ".join(f"`{g}`" for g in group)
+    base = counts if by else counts.selectExpr("*", "0 AS _all")
+    shares = ", ".join(f"{(i + 1) / ranges}D" for i in range(ranges - 1))
     cuts = base.groupBy(*group).agg(
-        F.percentile_approx(order, probabilities, F.lit(20 * ranges)).alias("_cuts")
+        F.expr(f"percentile_approx({order}, array({shares}), {20 * ranges})").alias("_cuts")
+    )
+    kept = [f"`{c}`" for c in base.columns]
+    placed = base.join(F.broadcast(cuts), group).selectExpr(
+        *kept, f"size(filter(_cuts, edge -> edge < {order})) AS _range"
+    )
+    per_range = placed.groupBy(*group, "_range").agg(
+        *[F.expr(f"sum({t})").alias(f"_{t}") for t in totals]
+    )
+    before = f"PARTITION BY {keys} ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    offsets = per_range.selectExpr(
+        "*",
+        *[f"coalesce(sum(_{t}) OVER ({before}), 0) AS _{t}_below" for t in totals],
+        *[f"sum(_{t}) OVER (PARTITION BY {keys}) AS {t}_all" for t in totals],
     )
-    placed = base.join(F.broadcast(cuts), group).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda edge: edge < F.col(order)))
-    ).drop("_cuts")
-
-    below = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    per_range = placed.groupBy(*group, "_range").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
-    offsets = per_range.withColumns({
-        **{f"_{t}_below": F.coalesce(F.sum(f"_{t}").over(below), F.lit(0)) for t in totals},
-        **{f"{t}_all": F.sum(f"_{t}").over(whole) for t in totals},
-    })
     if keep_range is not None:
-        offsets = offsets.filter(keep_range)
+        offsets = offsets.where(keep_range)
+    offsets = offsets.drop(*[f"_{t}" for t in totals])
     inside = (
-        Window.partitionBy(*group, "_range")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        f"PARTITION BY {keys}, _range ORDER BY {order} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     )
-    offsets = offsets.drop(*[f"_{t}" for t in totals])
-    out = placed.join(F.broadcast(offsets), [*group, "_range"]).withColumns(
-        {f"{t}_through": F.sum(t).over(inside) + F.col(f"_{t}_below") for t in totals}
+    return placed.join(F.broadcast(offsets), [*group, "_range"]).selectExpr(
+        *[f"`{c}`" for c in counts.columns],
+        *[f"sum({t}) OVER ({inside}) + _{t}_below AS {t}_through" for t in totals],
+        *[f"{t}_all" for t in totals],
     )
-    return out.drop("_range", *[f"_{t}_below" for t in totals], *([] if by else ["_all"]))
 
 
 def quantiles(
@@ -77,31 +79,27 @@ def quantiles(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (by..., p, q)."""
-    by = list(by)
-    counts = value_counts(df.select(*by, F.col(value).cast("double").alias("_v")), "_v", by)
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    names = [f"`{b}`" for b in by]
+    counts = value_counts(df.selectExpr(*names, f"CAST(`{value}` AS DOUBLE) AS _v"), "_v", by)
+    wanted = f"array({', '.join(f'{float(p)}D' for p in probabilities)})"
 
-    def hits(first: Column, last: Column) -> Column:
-        """Quantiles whose neighbouring sorted positions touch first..last (from 0)."""
-        place = lambda p: p * (F.col("n_all") - 1)
-        return F.filter(wanted, lambda p: (F.ceil(place(p)) >= first) & (F.floor(place(p)) <= last))
+    def hits(first: str, last: str) -> str:
+        """Quantiles whose neighbouring sorted positions (from 0) touch first..last."""
+        place = "p * (n_all - 1)"
+        return f"filter({wanted}, p -> ceil({place}) >= {first} AND floor({place}) <= {last})"
 
-    touched = F.size(hits(F.col("_n_below"), F.col("_n_below") + F.col("_n") - 1)) > 0
+    touched = f"size({hits('_n_below', '_n_below + _n - 1')}) > 0"
     ranked = running_totals(counts, "_v", ["n"], by, keep_range=touched)
-    first, last = F.col("n_through") - F.col("n"), F.col("n_through") - 1
-    rows = ranked.withColumn("p", F.explode(hits(first, last)))
-    position = F.col("p") * (F.col("n_all") - 1)
-    holds = lambda index: (index >= first) & (index <= last)
+    rows = ranked.selectExpr(
+        *names, "_v", "n_through - n AS _first", "n_through - 1 AS _last", "n_all",
+        f"explode({hits('n_through - n', 'n_through - 1')}) AS p",
+    ).selectExpr("*", "p * (n_all - 1) AS _at")
     ends = rows.groupBy(*by, "p").agg(
-        F.max(F.when(holds(F.floor(position)), F.col("_v"))).alias("_low"),
-        F.max(F.when(holds(F.ceil(position)), F.col("_v"))).alias("_high"),
-        F.first("n_all").alias("_n"),
-    )
-    place_in_row = F.col("p") * (F.col("_n") - 1)
-    share = place_in_row - F.floor(place_in_row)
-    return ends.select(
-        *by, "p", (F.col("_low") + (F.col("_high") - F.col("_low")) * share).alias("q")
+        F.expr("max(CASE WHEN floor(_at) BETWEEN _first AND _last THEN _v END)").alias("_low"),
+        F.expr("max(CASE WHEN ceil(_at) BETWEEN _first AND _last THEN _v END)").alias("_high"),
+        F.expr("max(_at)").alias("_at"),
     )
+    return ends.selectExpr(*names, "p", "_low + (_high - _low) * (_at - floor(_at)) AS q")
 
 
 def quantile_columns(
@@ -113,7 +111,7 @@ def quantile_columns(
     long = stack(df, columns, by)
     found = quantiles(long, "value", sorted({p for _, p in wanted.values()}), [*by, "column"])
     picks = [
-        F.max(F.when((F.col("column") == c) & (F.col("p") == F.lit(float(p))), F.col("q"))).alias(name)
+        F.expr(f"max(CASE WHEN column = '{c}' AND p = {float(p)}D THEN q END)").alias(name)
         for name, (c, p) in wanted.items()
     ]
     return found.groupBy(*by).agg(*picks)
@@ -121,5 +119,7 @@ def quantile_columns(
 
 def stack(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Numeric columns to long form: (keep..., column, value)."""
-    typed = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    typed = df.selectExpr(
+        *[f"`{k}`" for k in keep], *[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns]
+    )
     return typed.unpivot(list(keep), list(columns), "column", "value")

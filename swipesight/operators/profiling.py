@@ -28,7 +28,7 @@ LAST_HOUR_FIELDS = [
 
 def unpack_last_hour(df: DataFrame, fields: Sequence[str] = LAST_HOUR_FIELDS) -> DataFrame:
     """Struct members as `last_hour_*` columns; a missing struct gives missing members."""
-    return df.withColumns({f"last_hour_{f}": F.col(f"last_hour_activity.{f}") for f in fields})
+    return df.selectExpr("*", *[f"last_hour_activity.{f} AS last_hour_{f}" for f in fields])
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:
@@ -68,9 +68,8 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 
 def quartiles(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
     found = quantiles(long, value, [0.25, 0.5, 0.75], by)
-    pick = lambda p: F.max(F.when(F.col("p") == p, F.col("q")))
     return found.groupBy(*by).agg(
-        pick(0.25).alias("q25"), pick(0.5).alias("q50"), pick(0.75).alias("q75")
+        *[F.expr(f"max(CASE WHEN p = 0.{d}D THEN q END)").alias(f"q{d}") for d in (25, 50, 75)]
     )
 
 

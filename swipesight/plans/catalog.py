@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from swipesight.plans import catalog_profile
+from swipesight.plans import catalog_customers, catalog_profile
 from swipesight.plans.query import Query
 
+GROUPS = [catalog_profile, catalog_customers]
+
 
 def entries() -> dict[str, Query]:
-    return {**catalog_profile.entries()}
+    return {name: query for group in GROUPS for name, query in group.entries().items()}

@@ -6,10 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 6
+# Keeps an exact half in the last digit from falling either way by the order of summation.
+NUDGE = 2e-9
 
 
 @dataclass(frozen=True)
@@ -27,17 +28,19 @@ def tidy(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles rounded (sums differ in their last bits by order), integers long, times as text."""
     out = []
     for field in df.schema.fields:
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            column = F.round(column.cast("double"), digits) + F.lit(0.0)
-        elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
-            column = column.cast("long")
-        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        elif isinstance(field.dataType, T.DateType):
-            column = F.date_format(column, "yyyy-MM-dd")
-        out.append(column.alias(field.name))
-    return df.select(*out)
+        name, kind = f"`{field.name}`", field.dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType, T.DecimalType)):
+            text = f"round(CAST({name} AS DOUBLE) + {NUDGE}D, {digits}) + 0.0D"
+        elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
+            text = f"CAST({name} AS BIGINT)"
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            text = f"date_format({name}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+        elif isinstance(kind, T.DateType):
+            text = f"date_format({name}, 'yyyy-MM-dd')"
+        else:
+            text = name
+        out.append(f"{text} AS {name}")
+    return df.selectExpr(*out)
 
 
 def form(sql: str, columns: str, digits: int = DIGITS) -> str:
@@ -51,7 +54,7 @@ def form(sql: str, columns: str, digits: int = DIGITS) -> str:
         if mark == "~":
             out.append(
                 f'CASE WHEN isnan(CAST("{name}" AS DOUBLE)) THEN NULL '
-                f'ELSE round(CAST("{name}" AS DOUBLE), {digits}) + 0.0 END AS "{name}"'
+                f'ELSE round(CAST("{name}" AS DOUBLE) + CAST({NUDGE} AS DOUBLE), {digits}) + 0.0 END AS "{name}"'
             )
         elif mark == "#":
             out.append(f'CAST("{name}" AS BIGINT) AS "{name}"')

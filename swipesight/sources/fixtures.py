@@ -18,6 +18,34 @@ BLOCK = 6 * HOUR
 VENDOR_FIELDS = {"vendor"}
 PART_FIELDS = {"vendor_category", "vendor_type", "is_high_risk_vendor"}
 HOME_FIELDS = {"currency", "country", "city", "card_type"}
+CURRENCY_LIST = ", ".join(f"'{c}'" for c in CURRENCIES)
+FIELDS = {
+    "transaction_id": "CAST(event_id AS STRING)",
+    "customer_id": "concat('C', user_id)",
+    "card_number": "4000000000000000 + user_id * 10 + event_id % 2",
+    "timestamp": "timestamp",
+    "vendor_category": "p_type",
+    "vendor_type": "p_brand",
+    "vendor": "s_name",
+    "amount": "value * 5",
+    "currency": f"element_at(array({CURRENCY_LIST}), CAST(nk % 11 + 1 AS INT))",
+    "country": "n_name",
+    "city": "CASE WHEN event_id % 97 <> 0 THEN concat(n_name, '_', event_id % 4) END",
+    "city_size": "CASE WHEN event_id % 4 < 2 THEN 'medium' ELSE 'large' END",
+    "card_type": "c_mktsegment",
+    "is_card_present": "k % 3 = 2",
+    "device": "CASE WHEN event_id % 50 <> 0 THEN "
+    "CASE k % 3 WHEN 0 THEN 'Chrome' WHEN 1 THEN 'iOS App' ELSE 'Chip Reader' END END",
+    "channel": "CASE k % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'mobile' ELSE 'pos' END",
+    "device_fingerprint": "concat('fp', (user_id div 3) * 4 + k % 4)",
+    "ip_address": "concat('ip', (user_id div 5) * 8 + k % 8)",
+    "is_outside_home_country": "abroad",
+    "is_high_risk_vendor": "p_type IN ('PROMO', 'ECONOMY')",
+    "is_weekend": "weekday(timestamp) >= 5",
+    "last_hour_activity": "last_hour_activity",
+    "is_fraud": "(user_id div 15) % 5 <> 4 AND ((hour(timestamp) <= 5 AND k < 45) "
+    "OR (abroad AND value > 25) OR (value > 110 AND k % 3 <> 2))",
+}
 ALL = [f.name for f in TRANSACTIONS.fields]
 
 
@@ -30,74 +58,30 @@ def transactions(
     activity = "last_hour_activity" in needed
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    k = F.get_json_object("props", "$.k").cast("int")
-    third = F.col("user_id") % 3
     abroad = (
-        F.when(third == 0, F.lit(False))
-        .when(third == 1, F.col("event_id") % 28 == 0)
-        .otherwise(F.col("event_id") % 7 == 0)
+        "CASE user_id % 3 WHEN 0 THEN false WHEN 1 THEN event_id % 28 = 0 ELSE event_id % 7 = 0 END"
     )
-    rows = read("events").select(
-        "event_id", "user_id", "value", k.alias("k"),
-        F.col("ts").cast("timestamp").alias("timestamp"), abroad.alias("abroad"),
+    rows = read("events").selectExpr(
+        "event_id", "user_id", "value", "CAST(get_json_object(props, '$.k') AS INT) AS k",
+        "CAST(ts AS TIMESTAMP) AS timestamp", f"{abroad} AS abroad",
     )
     if needed & PART_FIELDS:
-        part = read("part").filter(F.col("p_partkey") < 200).select("p_partkey", "p_type", "p_brand")
-        rows = rows.join(F.broadcast(part), rows.event_id % 200 == part.p_partkey)
+        part = read("part").where("p_partkey < 200").select("p_partkey", "p_type", "p_brand")
+        rows = rows.join(F.broadcast(part), F.expr("event_id % 200 = p_partkey"))
     if needed & VENDOR_FIELDS or activity:
-        supplier = read("supplier").filter(F.col("s_suppkey") < 10).select("s_suppkey", "s_name")
-        rows = rows.join(F.broadcast(supplier), rows.event_id % 10 == supplier.s_suppkey)
+        supplier = read("supplier").where("s_suppkey < 10").select("s_suppkey", "s_name")
+        rows = rows.join(F.broadcast(supplier), F.expr("event_id % 10 = s_suppkey"))
     if needed & HOME_FIELDS or activity:
         home = read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        rows = rows.join(home, rows.user_id == home.c_custkey)
-        moved = (F.col("c_nationkey") + 1 + F.col("event_id") % 5) % 25
-        rows = rows.withColumn("nk", F.when(F.col("abroad"), moved).otherwise(F.col("c_nationkey")))
-        nation = read("nation").filter(F.col("n_nationkey") < 25).select("n_nationkey", "n_name")
-        rows = rows.join(F.broadcast(nation), rows.nk == nation.n_nationkey)
+        rows = rows.join(home, F.expr("user_id = c_custkey")).selectExpr(
+            "*",
+            "CASE WHEN abroad THEN (c_nationkey + 1 + event_id % 5) % 25 ELSE c_nationkey END AS nk",
+        )
+        nation = read("nation").where("n_nationkey < 25").select("n_nationkey", "n_name")
+        rows = rows.join(F.broadcast(nation), F.expr("nk = n_nationkey"))
     if activity:
         rows = _with_last_hour(rows)
-
-    event, user, k = F.col("event_id"), F.col("user_id"), F.col("k")
-    hour = F.hour("timestamp")
-    currency = F.element_at(F.array(*map(F.lit, CURRENCIES)), (F.col("nk") % 11 + 1).cast("int"))
-    fields = {
-        "transaction_id": event.cast("string"),
-        "customer_id": F.concat(F.lit("C"), user.cast("string")),
-        "card_number": F.lit(4000000000000000) + user * 10 + event % 2,
-        "timestamp": F.col("timestamp"),
-        "vendor_category": F.col("p_type"),
-        "vendor_type": F.col("p_brand"),
-        "vendor": F.col("s_name"),
-        "amount": F.col("value") * 5,
-        "currency": currency,
-        "country": F.col("n_name"),
-        "city": F.when(event % 97 != 0, F.concat("n_name", F.lit("_"), (event % 4).cast("string"))),
-        "city_size": F.when(event % 4 < 2, "medium").otherwise("large"),
-        "card_type": F.col("c_mktsegment"),
-        "is_card_present": k % 3 == 2,
-        "device": F.when(
-            event % 50 != 0,
-            F.when(k % 3 == 0, "Chrome").when(k % 3 == 1, "iOS App").otherwise("Chip Reader"),
-        ),
-        "channel": F.when(k % 3 == 0, "web").when(k % 3 == 1, "mobile").otherwise("pos"),
-        "device_fingerprint": F.concat(
-            F.lit("fp"), (F.floor(user / 3) * 4 + k % 4).cast("long").cast("string")
-        ),
-        "ip_address": F.concat(
-            F.lit("ip"), (F.floor(user / 5) * 8 + k % 8).cast("long").cast("string")
-        ),
-        "is_outside_home_country": F.col("abroad"),
-        "is_high_risk_vendor": F.col("p_type").isin("PROMO", "ECONOMY"),
-        "is_weekend": F.weekday("timestamp") >= 5,
-        "last_hour_activity": F.col("last_hour_activity") if activity else None,
-        "is_fraud": (F.floor(user / 15) % 5 != 4)
-        & (
-            ((hour <= 5) & (k < 45))
-            | (F.col("abroad") & (F.col("value") > 25))
-            | ((F.col("value") > 110) & (k % 3 != 2))
-        ),
-    }
-    return rows.select(*[fields[c].alias(c) for c in wanted])
+    return rows.selectExpr(*[f"{FIELDS[c]} AS {c}" for c in wanted])
 
 
 def _with_last_hour(rows: DataFrame) -> DataFrame:
