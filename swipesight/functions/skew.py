@@ -31,21 +31,25 @@ def _position(cuts: Column, row: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, halve)["low"]
 
 
+def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """Keys with more than `hot_rows` rows; at most rows / `hot_rows` of them exist."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(f"_n > {hot_rows}").select(key)
+
+
 def hot_cuts(df: DataFrame, key: str, order: Sequence[str], hot_rows: int) -> DataFrame:
     """(key, sorted cut rows) of keys above `hot_rows`.
 
     Cuts are rows picked by hash at one in `hot_rows`, so the table holds about rows / `hot_rows`
     cuts in all: 250,000 for 5e11 rows at the default. That bound is why it may be broadcast.
     """
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     picked = df.filter(F.pmod(F.xxhash64(*order), F.lit(hot_rows)) == 0)
-    cuts = (
-        picked.join(F.broadcast(hot.select(key)), key, "left_semi")
+    hot = hot_keys(df, key, hot_rows)
+    # a hot key without any picked row keeps a single chunk
+    return (
+        picked.join(F.broadcast(hot), key, "left_semi")
         .groupBy(key)
         .agg(F.sort_array(F.collect_set(F.struct(*order))).alias("_cuts"))
     )
-    # a hot key without any picked row keeps a single chunk
-    return cuts
 
 
 def chunked(df: DataFrame, key: str, order: Sequence[str], hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
@@ -59,7 +63,7 @@ def chunked(df: DataFrame, key: str, order: Sequence[str], hot_rows: int = HOT_K
         F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*order), F.lit(4096)).cast("int"))
         .when(F.col("_cuts").isNotNull(), _position(F.col("_cuts"), F.struct(*order)))
     )
-    return joined.withColumn("_chunk", at).drop("_cuts")
+    return joined.select(*df.columns, at.alias("_chunk"))
 
 
 def ordered_windows(
@@ -76,6 +80,12 @@ def ordered_windows(
     by key leaves them out.
     """
     order = list(order)
+    names = list(build(Window.partitionBy(key).orderBy(*order)))
+    blank = {name: F.when(F.col(key).isNotNull(), F.col(name)) for name in names}
+    # one column is counted, once, to know whether any key needs cutting at all
+    if hot_keys(df.select(key), key, hot_rows).isEmpty():
+        return df.withColumns(build(Window.partitionBy(key).orderBy(*order))).withColumns(blank)
+
     placed = chunked(df, key, order, hot_rows)
     tagged = placed.withColumn("_lead_in", F.lit(False))
 
@@ -110,11 +120,10 @@ def ordered_windows(
         .drop("_at", "_to", "_before")
         .withColumn("_lead_in", F.lit(True))
     )
-    made = build(in_chunk.orderBy(*order))
     return (
         tagged.unionByName(lead_in)
-        .withColumns(made)
+        .withColumns(build(in_chunk.orderBy(*order)))
         .filter(~F.col("_lead_in"))
-        .withColumns({name: F.when(F.col(key).isNotNull(), F.col(name)) for name in made})
+        .withColumns(blank)
         .drop("_chunk", "_lead_in")
     )

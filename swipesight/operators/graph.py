@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from swipesight.functions.semantics import pair_corr, with_row
 from swipesight.functions.stats import welch
-from swipesight.session import checkpoint_dir
+from swipesight.session import settle
 
 HUB_CUSTOMERS = 1000
 RISK_FACTOR = 10
@@ -25,12 +25,6 @@ SAMPLED_SOURCES = 100
 KINDS = {"device": "device_fingerprint", "ip": "ip_address"}
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession, fallback="/tmp/swipesight-checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def incidence(df: DataFrame) -> DataFrame:
     """Distinct (customer, kind of key, key)."""
     rows = df.where("customer_id IS NOT NULL").selectExpr(

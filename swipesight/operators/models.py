@@ -20,6 +20,7 @@ from swipesight.functions.semantics import booleans_to_int, drop_present, litera
 from swipesight.operators import features as fe
 from swipesight.operators import metrics as me
 from swipesight.operators.profiling import columns_by_kind, mostly_missing, unpack_last_hour
+from swipesight.session import settle
 
 ID, LABEL = "transaction_id", "is_fraud"
 # Columns that are not features, per preparation
@@ -196,7 +197,7 @@ def balance(prepared_train: DataFrame, method: str, seed: int = 42) -> DataFrame
     if method == "undersample":
         out = undersample(rows, seed=seed)
     else:
-        out = getattr(resampling, method)(rows, seed=seed)
+        out = getattr(resampling, method)(settle(rows), seed=seed)
     return with_weights(out)
 
 

@@ -16,48 +16,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swipesight.operators.models import ID
+from swipesight.session import settle
 
 BLOCK_ROWS = 4096
-PIVOTS = 64
+MAX_PIVOTS = 256
+BATCH = 512
 NEIGHBOURS, CLEANING_NEIGHBOURS = 5, 3
 PARTIAL = "qid string, pid string, distance double"
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+    """All distances between two small sets by the expanded square, good to about 1e-7."""
+    square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(square, 0))
 
 
 def _stack(xs: pd.Series) -> np.ndarray:
-    return np.array(xs.tolist(), dtype=float)
+    return np.stack(xs.to_numpy()).astype(float)
 
 
 def _compare(k: int):
     """Nearest k points of one block for each query of one slice, itself left out."""
 
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"qid": [], "pid": [], "distance": []}).astype({"qid": str, "pid": str})
         if queries.empty or points.empty:
-            return pd.DataFrame({"qid": [], "pid": [], "distance": []}).astype({"qid": str, "pid": str})
-        p, ids, out = _stack(points["x"]), points["pid"].to_numpy(), []
-        step = max(1, int(4e6 / p.size))
-        for start in range(0, len(queries), step):
-            part = queries.iloc[start:start + step]
-            far = _distances(_stack(part["x"]), p)
-            far[part["qid"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            near = np.argsort(far, axis=1, kind="stable")[:, :k]
-            for row, qid in enumerate(part["qid"]):
-                out += [(qid, ids[j], far[row, j]) for j in near[row] if np.isfinite(far[row, j])]
-        return pd.DataFrame(out, columns=["qid", "pid", "distance"])
+            return none
+        p, ids, out = _stack(points["point"]), points["pid"].to_numpy(), []
+        for start in range(0, len(queries), BATCH):
+            part = queries.iloc[start:start + BATCH]
+            q, names = _stack(part["x"]), part["qid"].to_numpy()
+            far = _distances(q, p)
+            far[names[:, None] == ids[None, :]] = np.inf
+            take = min(k, len(p))
+            near = np.argpartition(far, take - 1, axis=1)[:, :take]
+            rows = np.repeat(np.arange(len(q)), take)
+            columns = near.ravel()
+            exact = np.sqrt(((q[rows] - p[columns]) ** 2).sum(axis=1))
+            other = np.isfinite(far[rows, columns])
+            out.append(pd.DataFrame({
+                "qid": names[rows[other]], "pid": ids[columns[other]], "distance": exact[other],
+            }))
+        return pd.concat(out) if out else none
 
     return run
 
 
 def nearest(
-    queries: DataFrame, points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS
+    queries: DataFrame, points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int | None = None
 ) -> DataFrame:
     """Exact k nearest points of each query, itself left out: (qid, pid, distance, rank).
 
     `queries`: (qid, x), `points`: (pid, x), x an array of doubles.
     """
+    if pivots is None:
+        pivots = max(1, min(MAX_PIVOTS, points.count() // block_rows))
     centres = _stack(pd.Series([
         r["x"] for r in points.orderBy(F.xxhash64("pid"), "pid").limit(pivots).collect()
     ]))
@@ -83,7 +96,7 @@ def nearest(
         left = probes.join(slices, ["cell", "chunk"]).selectExpr(
             "qid", "x", "cell", "chunk", "CAST(pmod(xxhash64(qid), slices) AS INT) AS slice")
         right = blocks.join(slices, ["cell", "chunk"]).selectExpr(
-            "pid", "x", "cell", "chunk", "explode(sequence(0, slices - 1)) AS slice")
+            "pid", "x AS point", "cell", "chunk", "explode(sequence(0, slices - 1)) AS slice")
         keys = ["cell", "chunk", "slice"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compare(k), PARTIAL)
 
@@ -96,7 +109,7 @@ def nearest(
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def reachable(xs: pd.Series, limit: pd.Series) -> pd.Series:
         least = _distances(_stack(xs), centres) - radius[None, :]
-        inside = least <= limit.fillna(np.inf).to_numpy()[:, None] * (1 + 1e-9) + 1e-9
+        inside = least <= limit.fillna(np.inf).to_numpy()[:, None] * (1 + 1e-6) + 1e-6
         return pd.Series([np.flatnonzero(row).tolist() for row in inside])
 
     limited = home.join(bound, "qid", "left").selectExpr(
@@ -107,9 +120,9 @@ def nearest(
         "qid", "x", "home_cell", "home_chunk", "cell", f"explode(sequence(0, {per_cell} - 1)) AS chunk"
     ).where("NOT (cell = home_cell AND chunk = home_chunk)").select("qid", "x", "cell", "chunk")
     found = first.unionByName(compare(probes))
-    return found.selectExpr(
+    return settle(found.selectExpr(
         "*", "row_number() OVER (PARTITION BY qid ORDER BY distance, pid) AS rank"
-    ).where(f"rank <= {k}")
+    ).where(f"rank <= {k}"))
 
 
 def _arrays(rows: DataFrame) -> DataFrame:
@@ -189,4 +202,4 @@ def edited_neighbours(rows: DataFrame, k: int = CLEANING_NEIGHBOURS) -> DataFram
 
 def smoteenn(rows: DataFrame, seed: int = 42) -> DataFrame:
     """`smote`, then only rows at one with their neighbours."""
-    return edited_neighbours(smote(rows, seed=seed).persist())
+    return edited_neighbours(settle(smote(rows, seed=seed)))

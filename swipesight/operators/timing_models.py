@@ -17,6 +17,7 @@ from swipesight.functions.ranks import quantile_columns
 from swipesight.functions.semantics import literal_rows, with_row
 from swipesight.operators import metrics as me
 from swipesight.operators.models import ID, MAX_DEPTH, coefficients, predict, split, with_weights
+from swipesight.session import settle
 from swipesight.operators.temporal import TIMING_COLUMNS, standardise, timing_features
 
 CLOCK_COLUMNS = ["hour", "day_of_week", "sin_hour", "cos_hour", "is_night", "is_weekend"]
@@ -142,8 +143,9 @@ def isolation_forest(
 
 def timing_anomalies(patterns: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
     """Customers with unusual timing: the most isolated share given by `contamination`."""
-    base = timing_features(patterns)
-    scored = isolation_forest(standardise(base, TIMING_COLUMNS), "customer_id", TIMING_COLUMNS)
+    base = settle(timing_features(settle(patterns)))
+    scaled = settle(standardise(base, TIMING_COLUMNS))
+    scored = settle(isolation_forest(scaled, "customer_id", TIMING_COLUMNS))
     limit = quantile_columns(scored, {"at": ("score", 1 - contamination)})
     flagged = with_row(scored, limit, "_l").selectExpr("customer_id", "score", "score > _l.at AS time_anomaly")
     return flagged.join(base.select("customer_id", "fraud_rate"), "customer_id")
@@ -154,7 +156,8 @@ def timing_anomalies(patterns: DataFrame, contamination: float = CONTAMINATION)
 
 def rhythm_vectors(patterns: DataFrame) -> DataFrame:
     """Standardised timing features as a vector per customer."""
-    scaled = standardise(timing_features(patterns), TIMING_COLUMNS)
+    patterns = settle(patterns)
+    scaled = standardise(settle(timing_features(patterns)), TIMING_COLUMNS)
     counts = patterns.selectExpr("customer_id", "transaction_count AS gaps")
     joined = scaled.join(counts, "customer_id")
     return VectorAssembler(inputCols=TIMING_COLUMNS, outputCol="features").transform(joined)

@@ -130,11 +130,13 @@ def entries() -> dict[str, Query]:
     q["quick_model_metrics"] = Query(_metrics("quick"))
     q["quick_model_coefficients"] = Query(_coefficients)
     q["quick_model_roc"] = Query(_model_curve)
-    q["simple_model_metrics"] = Query(_metrics("simple"))
+    boosted = ["xgb_like", "lgbm_like"]
+    q["simple_model_metrics"] = Query(_metrics("simple", ["logistic_regression", "random_forest", "gradient_boosting"]))
+    q["boosted_model_metrics"] = Query(_metrics("simple", boosted))
     q["simple_model_report"] = Query(
         lambda s, sf: mo.report(_trained("simple", ["logistic_regression"])(s, sf)).drop("training_seconds"))
     q["smote_model_metrics"] = Query(_metrics("simple", ["logistic_regression"], "smote"))
-    q["feature_model_metrics"] = Query(_metrics("features"))
+    q["feature_model_metrics"] = Query(_metrics("features", ["logistic_regression", "random_forest"]))
     q["basic_model_metrics"] = Query(_metrics("basic"))
     q["feature_importance"] = Query(_importance)
     clock = txn("transaction_id", "timestamp", "is_fraud")

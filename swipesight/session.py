@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +37,9 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
         current = fallback
     context.setCheckpointDir(current)
     return current
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage by a checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession, fallback="/tmp/swipesight-checkpoints")
+    return df.checkpoint(eager=True)
