@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from swipesight.sources.schemas import CURRENCIES, TRANSACTIONS
 
 HOUR = 3_600_000_000
-BLOCK = 6 * HOUR
 VENDOR_FIELDS = {"vendor"}
 PART_FIELDS = {"vendor_category", "vendor_type", "is_high_risk_vendor"}
 HOME_FIELDS = {"currency", "country", "city", "card_type"}
@@ -87,30 +86,44 @@ def transactions(
 def _with_last_hour(rows: DataFrame) -> DataFrame:
     """Activity of the same user in the hour before each row.
 
-    Time is cut into blocks and a row in the last hour of a block is also shown to the next one, so
-    a user with very many rows is spread over all blocks.
+    The hour before a row is the end of the previous clock hour and the beginning of its own. Each
+    is a running aggregate over one (user, clock hour), forwards for the beginning and backwards
+    for the end, so the work stays linear and a user with very many rows is spread over the hours.
     """
-    micros = F.unix_micros("timestamp")
-    timed = rows.withColumn("_us", micros).withColumn("_block", F.floor(F.col("_us") / BLOCK))
-    late = F.col("_us") % BLOCK >= BLOCK - HOUR
-    shown = F.when(late, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    spread = timed.withColumn("_ahead", F.explode(shown)).withColumn(
-        "_block", F.col("_block") + F.col("_ahead")
+    timed = rows.withColumn("_us", F.unix_micros("timestamp"))
+    # every row stands in its own hour, and asks the previous one what came after it less an hour
+    stand = f"struct(floor(_us / {HOUR}) AS block, _us AS at, true AS real)"
+    ask = f"struct(floor(_us / {HOUR}) - 1 AS block, _us - {HOUR} AS at, false AS real)"
+    points = timed.selectExpr(
+        "event_id", "user_id", "value * 5 AS amount", "s_name", "n_name", f"inline(array({stand}, {ask}))"
     )
-    hour = Window.partitionBy("user_id", "_block").orderBy("_us").rangeBetween(-HOUR, -1)
-    amount = F.col("value") * 5
-    seen = F.struct(
-        F.count(F.lit(1)).over(hour).alias("num_transactions"),
-        F.round(F.coalesce(F.sum(amount).over(hour), F.lit(0.0)), 6).alias("total_amount"),
-        F.size(F.collect_set("s_name").over(hour)).cast("long").alias("unique_merchants"),
-        F.size(F.collect_set("n_name").over(hour)).cast("long").alias("unique_countries"),
-        F.coalesce(F.max(amount).over(hour), F.lit(0.0)).alias("max_single_amount"),
+    forward = Window.partitionBy("user_id", "block").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("user_id", "block").orderBy(F.desc("at")).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    return (
-        spread.withColumn("_seen", seen)
-        .filter(F.col("_ahead") == 0)
-        .withColumn("last_hour_activity", F.when(F.col("event_id") % 53 != 0, F.col("_seen")))
+
+    def seen(window):
+        real = lambda name: F.expr(f"CASE WHEN real THEN {name} END")
+        return F.struct(
+            F.count(real("1")).over(window).alias("n"), F.sum(real("amount")).over(window).alias("total"),
+            F.max(real("amount")).over(window).alias("top"),
+            F.collect_set(real("s_name")).over(window).alias("vendors"),
+            F.collect_set(real("n_name")).over(window).alias("countries"),
+        )
+
+    part = points.select("event_id", "real", seen(forward).alias("_own"), seen(backward).alias("_previous"))
+    both = part.groupBy("event_id").agg(
+        F.expr("max_by(_own, real)").alias("a"), F.expr("min_by(_previous, real)").alias("b")
+    )
+    activity = both.selectExpr(
+        "event_id AS _event",
+        "CASE WHEN event_id % 53 <> 0 THEN struct(a.n + b.n AS num_transactions, "
+        "round(coalesce(a.total, 0D) + coalesce(b.total, 0D), 6) AS total_amount, "
+        "CAST(size(array_union(a.vendors, b.vendors)) AS BIGINT) AS unique_merchants, "
+        "CAST(size(array_union(a.countries, b.countries)) AS BIGINT) AS unique_countries, "
+        "coalesce(greatest(a.top, b.top), 0D) AS max_single_amount) END AS last_hour_activity",
     )
+    return timed.join(activity, F.expr("event_id = _event"))
 
 
 def exchange_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
