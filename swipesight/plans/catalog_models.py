@@ -130,9 +130,9 @@ def entries() -> dict[str, Query]:
     q["quick_model_metrics"] = Query(_metrics("quick"))
     q["quick_model_coefficients"] = Query(_coefficients)
     q["quick_model_roc"] = Query(_model_curve)
-    boosted = ["xgb_like", "lgbm_like"]
-    q["simple_model_metrics"] = Query(_metrics("simple", ["logistic_regression", "random_forest", "gradient_boosting"]))
-    q["boosted_model_metrics"] = Query(_metrics("simple", boosted))
+    q["simple_model_metrics"] = Query(_metrics("simple", ["logistic_regression", "random_forest"]))
+    for name in ("gradient_boosting", "xgb_like", "lgbm_like"):
+        q[f"{name}_metrics"] = Query(_metrics("simple", [name]))
     q["simple_model_report"] = Query(
         lambda s, sf: mo.report(_trained("simple", ["logistic_regression"])(s, sf)).drop("training_seconds"))
     q["smote_model_metrics"] = Query(_metrics("simple", ["logistic_regression"], "smote"))
