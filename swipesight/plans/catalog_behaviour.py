@@ -351,7 +351,7 @@ def entries() -> dict[str, Query]:
         form(_component_sql("""SELECT n1, n2, m1 AS mean1, m2 AS mean2, CASE WHEN m2 <> 0 THEN m1 / m2 END AS ratio,
             (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
             power(v1 / n1 + v2 / n2, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v2 / n2, 2) / (n2 - 1)) AS freedom,
-            m1 >= m2 * 10 AS goal_met
+            coalesce(m1 >= m2 * 10, FALSE) AS goal_met
           FROM (SELECT count(*) FILTER (WHERE near) AS n1, count(*) FILTER (WHERE NOT near) AS n2,
             avg(fraud_rate) FILTER (WHERE near) AS m1, avg(fraud_rate) FILTER (WHERE NOT near) AS m2,
             var_samp(fraud_rate) FILTER (WHERE near) AS v1, var_samp(fraud_rate) FILTER (WHERE NOT near) AS v2
