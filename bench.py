@@ -15,7 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from swipesight.plans import catalog  # noqa: E402
-from swipesight.session import build_session, checkpoint_dir  # noqa: E402
+from swipesight.session import build_session  # noqa: E402
 
 HEADLINE = [
     "fraud_by_vendor_category", "fraud_by_hour", "top_values", "missing_values", "dataset_summary",
@@ -36,7 +36,6 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus, spark__driver__memory="12g",
     )
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark, fallback="/tmp/swipesight-checkpoints")
     queries, times = catalog.entries(), {}
     for name in HEADLINE:
         for _ in range(2):

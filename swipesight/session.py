@@ -10,6 +10,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -25,21 +26,31 @@ def build_session(name: str = "swipesight", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared folder for checkpoints. The cluster's own setting wins; `fallback` is for tests."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Folder for checkpoints: that of the context, else `spark.checkpoint.dir`, else one under the warehouse.
+
+    The warehouse of a cluster lies on its shared file system. A local warehouse is refused unless the master is local too:
+    executors could not see each other's files.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return context._jsc.sc().getCheckpointDir().get()
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        if fallback is None:
-            raise ValueError("spark.checkpoint.dir is not set on this session")
-        current = fallback
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        local = "://" not in warehouse and not warehouse.startswith("hdfs:")
+        if local and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        current = f"{warehouse.rstrip('/')}/_checkpoints"
     context.setCheckpointDir(current)
     return current
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage by a checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession, fallback="/tmp/swipesight-checkpoints")
+    """Compute once and cut the lineage by a checkpoint in the shared folder.
+
+    Spark removes the files with the frame if `spark.cleaner.referenceTracking.cleanCheckpoints` is on, as
+    `build_session` sets it.
+    """
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

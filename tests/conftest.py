@@ -8,13 +8,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from swipesight.session import build_session, checkpoint_dir
+    from swipesight.session import build_session
 
     session = build_session(
         "tests", "local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("checkpoints")),
     )
     session.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(session, fallback=str(tmp_path_factory.mktemp("checkpoints")))
     yield session
     session.stop()
