@@ -10,8 +10,8 @@ into segments, one for each fragment.
   empty segments for this argument also takes a second, third... order of the n-grams, until it has few enough.
 * Counting. For a candidate pair the partial overlap of each fragment is counted by itself, and the partial counts are
   summed per pair. A long document is so spread over several rows.
-* Groups. Equal sets are one class, joined once. Under a shared segment the documents are compared with one of them, not
-  all with all. Groups that are then still in several components are compared across components, after
+* Groups. Equal sets are one class, joined once. Under a shared segment the documents are compared with the one that
+  shares most, not all with all. Groups that are then still in several components are compared across components, after
   the documents that hold too many n-grams of their own to be linked to anything there are taken out (an exact bound).
 
 Nulls and empty texts have no n-grams and are linked with nothing. Rows that repeat a doc_id keep their own row; the
@@ -34,7 +34,7 @@ from swipesight.session import settle
 CLASS_RATIO = 1.5
 COUNT_FRAGMENTS = 8
 BITMAP_BITS = 1 << 24
-SIGNATURE = "doc_id bigint, n_shingles bigint, low bigint, high bigint, segments array<bigint>"
+SIGNATURE = "doc_id bigint, n_shingles bigint, set bigint, segments array<bigint>"
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray]:
@@ -84,7 +84,7 @@ class Cuts:
 
     def _fragments(self, c: int) -> int:
         most = self.differing(self.bounds[c + 1] - 1)
-        return most + 1 + most // 8
+        return most + 1 + most // 16
 
 
 def segment_keys(grams: np.ndarray, cuts: Cuts) -> np.ndarray:
@@ -106,7 +106,7 @@ def segment_keys(grams: np.ndarray, cuts: Cuts) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, low, high, segments): two hashes of the whole set and those of its segments."""
+    """(doc_id, n_shingles, set, segments): the hash of the whole set and those of its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = Cuts(percent)
@@ -115,15 +115,14 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 found = words(texts)
                 sets = shingle_hashes(found.hash, found.first, n)
                 with np.errstate(over="ignore"):
-                    one = np.array([mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                    two = np.array([mix(~s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
+                    whole = np.array([mix(~s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 segments = [segment_keys(s, cuts) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id")[low:high], pa.array([len(s) for s in sets], pa.int64()), longs(one), longs(two),
+                        batch.column("doc_id")[low:high], pa.array([len(s) for s in sets], pa.int64()), longs(whole),
                         ragged(np.concatenate(segments), np.array([len(s) for s in segments])),
                     ],
-                    ["doc_id", "n_shingles", "low", "high", "segments"],
+                    ["doc_id", "n_shingles", "set", "segments"],
                 )
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, SIGNATURE)
@@ -194,16 +193,13 @@ def _near_size(percent: int, a: str = "n_a", b: str = "n_b") -> str:
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable over links of `percent` or more."""
     signed = settle(signatures(docs, n, percent))
-    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("low", "high", "n_shingles").agg(
-        F.min("doc_id").alias("doc")
+    classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set").agg(
+        F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n")
     )
-    # One row of segments for each class: of the row that has its smallest doc_id.
-    own = signed.where("n_shingles > 0").selectExpr("doc_id AS doc", "low", "high", "n_shingles", "segments")
-    filed = own.join(classes.select("doc", "low", "high"), ["doc", "low", "high"], "left_semi").select(
-        F.explode("segments").alias("key"), "doc", F.col("n_shingles").alias("n")
-    )
-    shared = filed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    members = settle(filed.join(shared.select("key", "first"), "key").distinct())
+    filed = signed.where("doc_id IS NOT NULL").select(F.explode("segments").alias("key"), "set")
+    shared = filed.groupBy("key").agg(F.min("set").alias("l"), F.max("set").alias("h")).where("l <> h").select("key")
+    met = settle(filed.join(shared, "key").distinct().join(classes, "set").select("key", "doc", "n"))
+    members = settle(_with_centre(met))
     heads = members.where("doc = first").selectExpr("key", "doc AS a", "n AS n_a")
     pairs = settle(
         members.where("doc <> first").selectExpr("key", "doc AS b", "n AS n_b").join(heads, "key")
@@ -219,12 +215,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
             links = settle(links.union(more))
             labels = components_of_pairs(_nodes(links), links, "a", "b").selectExpr("a AS doc", "component AS label")
 
-    named = classes.join(labels, "doc", "left").selectExpr("low", "high", "coalesce(label, doc) AS component_id")
-    whole = signed.select("doc_id", "n_shingles", "low", "high").where("n_shingles > 0").join(named, ["low", "high"], "left")
+    named = classes.join(labels, "doc", "left").selectExpr("set", "coalesce(label, doc) AS component_id")
+    whole = signed.select("doc_id", "n_shingles", "set").where("n_shingles > 0").join(named, "set", "left")
     empty = signed.where("n_shingles = 0").selectExpr("doc_id", "n_shingles", "doc_id AS component_id")
     return whole.selectExpr("doc_id", "n_shingles", "coalesce(component_id, doc_id) AS component_id").union(empty)
 
 
+def _with_centre(members: DataFrame) -> DataFrame:
+    """Adds `first`, the document that a group is compared with: the one that shares most segments with others.
+
+    In a group of edited copies that is the least edited one, which is linked to most of the group.
+    """
+    weight = members.groupBy("doc").agg(F.count(F.lit(1)).alias("weight"))
+    centre = members.join(weight, "doc").groupBy("key").agg(F.expr("max_by(doc, struct(weight, -doc))").alias("first"))
+    return members.join(centre, "key")
+
+
 def _nodes(links: DataFrame) -> DataFrame:
     return links.select("a").union(links.select("b")).distinct()
 
