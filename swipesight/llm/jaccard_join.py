@@ -9,7 +9,8 @@ into segments, one for each fragment.
   size; a document near the upper end of its class also takes the cut of the next one). A document that has too many
   empty segments for this argument also takes a second, third... order of the n-grams, until it has few enough.
 * Counting. For a candidate pair the partial overlap of each fragment is counted by itself, and the partial counts are
-  summed per pair. A long document is so spread over several rows.
+  summed per pair. There the order is cut into so many fragments (a power of two by the larger set's size) that one
+  holds about `FRAGMENT_GRAMS` n-grams, so long documents are spread over rows.
 * Groups. Equal sets are one class, joined once. Under a shared segment the documents are compared with the one that
   shares most, not all with all. Groups that are then still in several components are compared across components, after
   the documents that hold too many n-grams of their own to be linked to anything there are taken out (an exact bound).
@@ -32,7 +33,7 @@ from swipesight.operators.graph import components_of_pairs
 from swipesight.session import settle
 
 CLASS_RATIO = 1.5
-COUNT_FRAGMENTS = 8
+FRAGMENT_GRAMS = 2048
 BITMAP_BITS = 1 << 24
 SIGNATURE = "doc_id bigint, n_shingles bigint, set bigint, segments array<bigint>"
 
@@ -128,8 +129,17 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, SIGNATURE)
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(doc, fragment, grams) of the documents of `ids`.
+def _level(size: int) -> int:
+    """The order is cut into 2 to this power fragments for counting."""
+    return ((size - 1) // FRAGMENT_GRAMS).bit_length()
+
+
+def _level_sql(size: str) -> str:
+    return f"IF({size} <= {FRAGMENT_GRAMS}, 0, length(bin(({size} - 1) DIV {FRAGMENT_GRAMS})))"
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc, level, fragment, grams) of the documents of `ids`, at their own level and that of the largest set linked to them.
 
     A bitmap of fixed size drops most other documents before their text is hashed; the joins that follow are exact.
     """
@@ -150,40 +160,42 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             batch = batch.filter(pa.array(bits[at - 1] > 0))
             for low, _, texts in blocks(batch):
                 found = words(texts)
-                ids, where, counts, values = [], [], [], []
+                ids, levels, where, counts, values = [], [], [], [], []
                 for i, grams in enumerate(shingle_hashes(found.hash, found.first, n)):
-                    fragment = (grams >> np.uint64(61)).astype(np.int64)
-                    size = np.bincount(fragment, minlength=COUNT_FRAGMENTS)
-                    used = np.flatnonzero(size)
-                    ids += [batch.column("doc")[low + i].as_py()] * len(used)
-                    where.append(used)
-                    counts.append(size[used])
-                    values.append(grams)
+                    for level in {_level(len(grams)), _level(len(grams) * 100 // percent)} if len(grams) else ():
+                        fragment = (grams >> np.uint64(64 - level)) if level else np.zeros(len(grams), np.uint64)
+                        used, size = np.unique(fragment, return_counts=True)
+                        ids += [batch.column("doc")[low + i].as_py()] * len(used)
+                        levels += [level] * len(used)
+                        where.append(used.astype(np.int64))
+                        counts.append(size)
+                        values.append(grams)
                 if ids:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids, pa.int64()), pa.array(np.concatenate(where).astype(np.int32)),
+                        [pa.array(ids, pa.int64()), pa.array(levels, pa.int32()), pa.array(np.concatenate(where)),
                          ragged(np.concatenate(values), np.concatenate(counts))],
-                        ["doc", "fragment", "grams"],
+                        ["doc", "level", "fragment", "grams"],
                     )
 
     source = docs.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc", "CAST(text AS STRING) AS text")
     # Positions of a bitmap begin with 1 at value 1; value 0 is the last bit of the bucket below, hence the shift.
     return source.selectExpr("doc", "text", f"CASE WHEN {place} = 0 THEN {BITMAP_BITS} ELSE {place} END AS at").mapInArrow(
-        run, "doc bigint, fragment int, grams array<bigint>"
+        run, "doc bigint, level int, fragment bigint, grams array<bigint>"
     )
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, shared): overlaps counted within each fragment and summed per pair."""
-    left = pairs.join(sets.withColumnsRenamed({"doc": "a", "grams": "grams_a"}), "a")
-    both = left.join(sets.withColumnsRenamed({"doc": "b", "grams": "grams_b"}), ["b", "fragment"])
+    pairs = pairs.withColumn("level", F.expr(_level_sql("greatest(n_a, n_b)")))
+    left = pairs.join(sets.withColumnsRenamed({"doc": "a", "grams": "grams_a"}), ["a", "level"])
+    both = left.join(sets.withColumnsRenamed({"doc": "b", "grams": "grams_b"}), ["b", "level", "fragment"])
     part = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
     return part.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("shared"))
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     ids = pairs.selectExpr("a AS doc").union(pairs.selectExpr("b AS doc"))
-    return overlaps(pairs, sets_of(docs, ids, n)).where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
+    return overlaps(pairs, sets_of(docs, ids, n, percent)).where(f"100 * shared >= {percent} * (n_a + n_b - shared)").select("a", "b")
 
 
 def _near_size(percent: int, a: str = "n_a", b: str = "n_b") -> str:
@@ -250,8 +262,9 @@ def _across(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFra
 
     An n-gram that no other document of any open group has can't be shared, so `n - alone` bounds the overlap.
     """
-    docs_in = groups.select("doc").distinct()
-    grams = sets_of(docs, docs_in, n).join(docs_in, "doc", "left_semi").select("doc", F.explode("grams").alias("gram"))
+    docs_in = groups.select("doc", F.expr(_level_sql("n")).alias("level")).distinct()
+    sets = sets_of(docs, docs_in, n, percent).join(docs_in, ["doc", "level"], "left_semi")
+    grams = sets.select("doc", F.explode("grams").alias("gram"))
     alone = (
         grams.distinct().groupBy("gram").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other")
         .groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
