@@ -6,17 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swipesight.llm import jaccard_join
+from swipesight.llm import decontaminate, jaccard_join, language, line_dedup, merkle, mixing, site_tree, surrogates, url_filter
+
+# The rules that the url query is asked for.
+RULES = [
+    ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.folded(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "array(source)")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The labelled outcome of a page is that of the document with its number.
+    labels = _table(spark, sf_dir, "labels").selectExpr("doc_id AS page_id", "CAST(toxic = 1 OR quality = 0 AS INT) AS bad")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), labels, RULES)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.with_next(_table(spark, sf_dir, "documents"))
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def entries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
 
