@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from swipesight.llm import decontaminate, jaccard_join, language, line_dedup, merkle, mixing, site_tree, surrogates, url_filter
+from swipesight.llm import decontaminate, jaccard_join, katz, language, line_dedup, merkle, mixing, site_tree, surrogates, url_filter
 
 # The rules that the url query is asked for.
 RULES = [
@@ -41,6 +42,10 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(_table(spark, sf_dir, "documents"), language.held_out(10, 0))
+
+
 def op7_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.with_next(_table(spark, sf_dir, "documents"))
 
@@ -57,8 +62,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def entries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
+    numbered = {name: run for name, run in globals().items() if name.startswith("op") and name[2].isdigit()}
+    return numbered | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
