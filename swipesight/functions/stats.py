@@ -27,14 +27,51 @@ def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
 def _student_tail(t: float, df: float) -> float | None:
     if t is None or df is None or math.isnan(t) or math.isnan(df):
         return None
-    # integral of the density from |t| on, by the substitution u = atan(x / sqrt(df))
-    start, steps = math.atan(abs(t) / math.sqrt(df)), 2000
-    width = (math.pi / 2 - start) / steps
-    log_scale = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(math.pi)
-    density = lambda u: max(math.cos(u), 0.0) ** (df - 1)
-    inner = sum((4 if i % 2 else 2) * density(start + i * width) for i in range(1, steps))
-    area = width / 3 * (density(start) + inner + density(math.pi / 2))
-    return min(1.0, 2 * math.exp(log_scale) * area)
+    if df <= 0:
+        return None
+    # P(|T| > t) is the regularised incomplete beta function of df / (df + t^2) at (df / 2, 1 / 2)
+    a, b, x = df / 2, 0.5, df / (df + t * t)
+    if t == 0:
+        return 1.0
+    if df > 1e6:
+        # The normal tail with the first term in 1 / df; the next one is below 1e-12.
+        density = math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+        return math.erfc(abs(t) / math.sqrt(2)) + density * (abs(t) ** 3 + abs(t)) / (2 * df)
+    far = t * t / (df + t * t)
+    log_front = a * math.log1p(-far) + b * math.log(far) + _log_gamma_step(a) - math.lgamma(b)
+    if x < (a + 1) / (a + b + 2):
+        return min(1.0, math.exp(log_front) * _beta_fraction(a, b, x) / a)
+    return max(0.0, 1 - math.exp(log_front) * _beta_fraction(b, a, far) / b)
+
+
+def _log_gamma_step(a: float) -> float:
+    """log gamma(a + 1/2) - log gamma(a), without the loss of digits of the difference for large a."""
+    if a < 50:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    r = 1 / a
+    return 0.5 * math.log(a) + r * (-1 / 8 + r * r * (1 / 192 + r * r * (-1 / 640 + r * r * 17 / 14336)))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, from front to back with guarded quotients."""
+    tiny, sum_ab = 1e-300, a + b
+    c, d = 1.0, 1 / _away(1 - sum_ab * x / (a + 1), tiny)
+    value = d
+    for m in range(1, 10_000):
+        for step in (
+            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
+            -(a + m) * (sum_ab + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
+        ):
+            d = 1 / _away(1 + step * d, tiny)
+            c = _away(1 + step / c, tiny)
+            value *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return value
+
+
+def _away(value: float, tiny: float) -> float:
+    return tiny if abs(value) < tiny else value
 
 
 def mann_whitney(df: DataFrame, value: str, member: str) -> DataFrame:
@@ -47,18 +84,18 @@ def mann_whitney(df: DataFrame, value: str, member: str) -> DataFrame:
     )
     ranked = running_totals(counts, value, ["n"])
     sums = ranked.selectExpr(
-        "n", "n1", "n1 * (n_through - n + (n + 1) / 2) AS rank_sum", "CAST(n AS DOUBLE) AS d"
+        "n", "n1", "CAST(n1 AS DOUBLE) * (n_through - n + (n + 1) / 2) AS rank_sum", "CAST(n AS DOUBLE) AS d"
     ).agg(
         F.expr("sum(n1)").alias("n1"), F.expr("sum(n) - sum(n1)").alias("n2"),
         F.expr("sum(rank_sum)").alias("r1"), F.expr("sum(d * d * d - d)").alias("ties"),
     )
     u = sums.selectExpr(
-        "n1", "n2", "r1 - n1 * (n1 + 1) / 2 AS u", "CAST(n1 AS DOUBLE) * n2 / 2 AS mean",
+        "n1", "n2", "r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 AS u", "CAST(n1 AS DOUBLE) * n2 / 2 AS mean",
         "sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - "
         "coalesce(try_divide(ties, CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1)), 0D))) AS sd",
     )
     scored = u.selectExpr(
-        "n1", "n2", "u", "greatest(0D, try_divide(greatest(u, n1 * n2 - u) - mean - 0.5D, sd)) AS z"
+        "n1", "n2", "u", "greatest(0D, try_divide(greatest(u, CAST(n1 AS DOUBLE) * n2 - u) - mean - 0.5D, sd)) AS z"
     )
     return scored.withColumn("p_value", normal_p("z"))
 

@@ -201,15 +201,17 @@ def component_summary(components: DataFrame) -> DataFrame:
 # --- communities -----------------------------------------------------------------------------
 
 
-def communities(members: DataFrame, customers: DataFrame, rounds: int = 5) -> DataFrame:
+def communities(members: DataFrame, customers: DataFrame) -> DataFrame:
     """Communities by label propagation through the shared keys: (customer_id, community).
 
     Each round a key takes the commonest label of its users (the smallest of equals), and a
     customer the commonest label of its keys; a key shared twice counts twice, as edge weight does.
+    Rounds go on while they raise the modularity; the labels of the best round are returned.
     """
     uses = settle(members.selectExpr("customer_id", "concat(kind, ':', key) AS key"))
     labels = settle(customers.selectExpr("customer_id", "customer_id AS community"))
-    for _ in range(rounds):
+    best, quality = labels, float("-inf")
+    while True:
         votes = uses.join(labels, "customer_id").groupBy("key", "community").agg(
             F.count(F.lit(1)).alias("_n")
         )
@@ -223,7 +225,10 @@ def communities(members: DataFrame, customers: DataFrame, rounds: int = 5) -> Da
         labels = settle(labels.join(chosen, "customer_id", "left").selectExpr(
             "customer_id", "coalesce(_chosen, community) AS community"
         ))
-    return labels
+        found = modularity(members, labels).first().modularity
+        if found is None or found <= quality + 1e-12:
+            return best
+        best, quality = labels, found
 
 
 def modularity(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -110,10 +110,12 @@ def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def undersample(df: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
-    """The minority kept whole and a random part of the majority of about the same size."""
+    """The minority kept whole and a part of the majority of about the same size, picked by hash: the same however partitioned."""
     counts = {r[label]: r["n"] for r in class_weights(df, label).collect()}
     small = min(counts.values())
-    return df.sampleBy(label, {k: min(1.0, small / n) for k, n in counts.items()}, seed)
+    limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, small / n))])
+    slot = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != label], F.lit(seed)), F.lit(1 << 30))
+    return df.where(slot < limits[F.col(label)] * (1 << 30))
 
 
 def preprocessing(train: DataFrame, prepared: Prepared) -> list:

@@ -12,8 +12,8 @@ ev AS (
 ej AS (
   SELECT ev.*, p_type, p_brand, s_name, c_mktsegment,
          CASE WHEN abroad THEN (c_nationkey + 1 + event_id % 5) % 25 ELSE c_nationkey END AS nk
-  FROM ev JOIN part ON p_partkey = event_id % 200
-          JOIN supplier ON s_suppkey = event_id % 10
+  FROM ev LEFT JOIN part ON p_partkey = event_id % (SELECT count(*) FROM part)
+          LEFT JOIN supplier ON s_suppkey = event_id % (SELECT count(*) FROM supplier)
           JOIN customer ON c_custkey = user_id),
 txn AS (
   SELECT CAST(event_id AS VARCHAR) AS transaction_id,

@@ -65,11 +65,13 @@ def transactions(
         "CAST(ts AS TIMESTAMP) AS timestamp", f"{abroad} AS abroad",
     )
     if needed & PART_FIELDS:
-        part = read("part").where("p_partkey < 200").select("p_partkey", "p_type", "p_brand")
-        rows = rows.join(F.broadcast(part), F.expr("event_id % 200 = p_partkey"))
+        part = read("part").select("p_partkey", "p_type", "p_brand")
+        rows = rows.withColumn("pk", F.col("event_id") % part.agg(F.count(F.lit(1))).scalar())
+        rows = rows.join(part, F.expr("pk = p_partkey"), "left")
     if needed & VENDOR_FIELDS or activity:
-        supplier = read("supplier").where("s_suppkey < 10").select("s_suppkey", "s_name")
-        rows = rows.join(F.broadcast(supplier), F.expr("event_id % 10 = s_suppkey"))
+        supplier = read("supplier").select("s_suppkey", "s_name")
+        rows = rows.withColumn("sk", F.col("event_id") % supplier.agg(F.count(F.lit(1))).scalar())
+        rows = rows.join(supplier, F.expr("sk = s_suppkey"), "left")
     if needed & HOME_FIELDS or activity:
         home = read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
         rows = rows.join(home, F.expr("user_id = c_custkey")).selectExpr(

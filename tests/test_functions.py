@@ -127,3 +127,24 @@ def test_student_tail_against_known_points():
     assert _student_tail(1.0, 1.0) == pytest.approx(0.5, abs=1e-6)
     assert _student_tail(2.228, 10.0) == pytest.approx(0.05, abs=2e-4)
     assert _student_tail(0.0, 5.0) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_student_tail_of_any_size():
+    import math
+
+    from swipesight.functions.stats import _student_tail
+
+    for df, t, p in [(1, 1.0, 0.5), (1, 12.7062047364, 0.05), (2, 4.30265272975, 0.05), (10, 2.22813885196, 0.05), (30, 2.04227245630, 0.05), (120, 1.97993040505, 0.05)]:
+        assert abs(_student_tail(t, df) - p) < 1e-8
+    for df in (1e7, 1e8, 4e9, 1e10):
+        for t in (0.0, 0.5, 1.96, 3.0, 8.0):
+            assert abs(_student_tail(t, df) - math.erfc(t / math.sqrt(2))) < 4e-8 * 1e7 / df + 1e-12
+    assert abs(_student_tail(1.96, 9.999e5) - _student_tail(1.96, 1.0001e6)) < 1e-8
+
+
+def test_undersampling_does_not_depend_on_partitioning(spark):
+    from swipesight.operators.models import undersample
+
+    rows = spark.range(2000).selectExpr("id", "CAST(id % 10 = 0 AS INT) AS label")
+    found = [sorted(r.id for r in undersample(rows.repartition(n)).collect()) for n in (2, 7)]
+    assert found[0] == found[1] and 350 < len(found[0]) < 450
