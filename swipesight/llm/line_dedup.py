@@ -1,7 +1,7 @@
 """Line dedup with content-defined chunks of lines. Built-in Spark functions only.
 
 A text is cut into lines, every line is hashed, and a rolling hash over the last `ROLL` line hashes places a chunk boundary
-where it is 0 modulo `SPACING`. A long line (`LONG_WORDS` words or more) is a chunk by itself. Boundaries so depend on nearby
+where it is 0 modulo `SPACING` and was not at the line before. A long line (`LONG_WORDS` words or more) is a chunk by itself. Boundaries so depend on nearby
 lines only and move with the text: lines inserted elsewhere don't shift them, and a passage that repeats across documents is
 cut alike everywhere, but for its two ends.
 
@@ -37,10 +37,11 @@ def _chunked(docs: DataFrame, roll: int, spacing: int, long_words: int) -> DataF
         f"transform(lines, x -> CASE WHEN {short} THEN false ELSE {words} >= {long_words} END) AS long_line",
     )
     window = " + ".join(f"{pow(31, k)}L * coalesce(get(h, i - {k}), 0L)" for k in range(roll))
-    edge = f"i = size(lines) - 1 OR get(long_line, i) OR get(long_line, i + 1) OR ({window}) % {spacing} = 0"
-    return hashed.selectExpr(
-        "doc_id", "lines", "long_line", f"filter(sequence(0, size(lines) - 1), i -> {edge}) AS ends"
-    )
+    marked = hashed.selectExpr("doc_id", "lines", "long_line", f"transform(h, (x, i) -> ({window}) % {spacing} = 0) AS marks")
+    # Of marks in a row only the first is a boundary, so that chunks between them have two lines or more.
+    mark = "(get(marks, i) AND NOT coalesce(get(marks, i - 1), false))"
+    edge = f"i = size(lines) - 1 OR get(long_line, i) OR get(long_line, i + 1) OR {mark}"
+    return marked.selectExpr("doc_id", "lines", "long_line", f"filter(sequence(0, size(lines) - 1), i -> {edge}) AS ends")
 
 
 def chunks(docs: DataFrame, roll: int = ROLL, spacing: int = SPACING, long_words: int = LONG_WORDS) -> DataFrame:
