@@ -44,10 +44,10 @@ TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra",
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _ALL_GIVEN = " ".join(GIVEN.values()).split()
 _ALL_TITLES = [t for titles in TITLES.values() for t in titles]
-_INITIALS = "".join(sorted({name[0] for name in _ALL_GIVEN + _ALL_TITLES}))
+_INITIALS = "A-ZА-Я"  # ranges, as a long list of letters is slow to test
 _CAPITAL = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]{0,31}[0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -56,9 +56,12 @@ PATTERNS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "name": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:{'|'.join(_ALL_TITLES)})\.? {_CAPITAL}(?: {_CAPITAL})?|(?:{'|'.join(_ALL_GIVEN)}) {_CAPITAL})(?!\p{{L}})",
 }
-ANY = "|".join(PATTERNS.values())
-# Every entity but a name holds a digit or an @: most texts are told clean by this cheaper test.
-MAYBE = f"[0-9@]|{PATTERNS['name']}"
+# An entity begins with one of these characters, and within a word of ASCII letters only with a digit, + or (. Told first,
+# this keeps the matcher from trying every pattern at every character.
+ANY = rf"(?=[0-9a-z+({_INITIALS}])(?:(?<![A-Za-z])|(?=[0-9+(]))(?:{'|'.join(PATTERNS.values())})"
+# Every entity but a name holds a digit or an @, and a name has a capital after its first word: most texts are told clean by this.
+MARKS = "[0-9@]"
+TWO_CAPITALS = rf"[{_INITIALS}]\p{{L}}*+\.? \p{{Lu}}"
 
 
 def _text(value: str) -> str:
@@ -195,7 +198,8 @@ def mapping(found: DataFrame, key: str) -> DataFrame:
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """`docs` with surrogates in `text`, and n_entities and the sorted `kinds` found."""
-    pattern, maybe = _text(ANY), f"text RLIKE {_text(MAYBE)}"
+    pattern = _text(ANY)
+    maybe = f"(text RLIKE {_text(MARKS)} OR text RLIKE {_text(TWO_CAPITALS)} AND text RLIKE {_text(PATTERNS['name'])})"
     names = [f"`{c}`" for c in docs.columns if c != "text"]
     plain = docs.where(f"NOT coalesce({maybe} AND text RLIKE {pattern}, false)").selectExpr(
         *names, "text", "0L AS n_entities", "CAST(array() AS ARRAY<STRING>) AS kinds"
