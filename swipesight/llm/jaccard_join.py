@@ -3,11 +3,12 @@
 The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments, so every document is cut
 into segments, one for each fragment.
 
-* Candidates. Two sets of similarity t differ in at most `(1 - t) / t` of the smaller set's n-grams. With more
+* Candidates. Two sets of similarity t differ in at most `(1 - t) / (1 + t)` of the sum of their sizes. With more
   fragments than that number, at least one fragment holds the same segment on both sides. So documents meet under the
   hash of a whole segment, never under single frequent n-grams. Documents of similar size share one cut (classes of
   size; a document near the upper end of its class also takes the cut of the next one). A document that has too many
   empty segments for this argument also takes a second, third... order of the n-grams, until it has few enough.
+  Candidates whose sketches (1024 parities of n-grams) differ in more bits than linked sets can differ in n-grams go.
 * Counting. For a candidate pair the partial overlap of each fragment is counted by itself, and the partial counts are
   summed per pair. There the order is cut into so many fragments (a power of two by the larger set's size) that one
   holds about `FRAGMENT_GRAMS` n-grams, so long documents are spread over rows.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,9 @@ from swipesight.session import settle
 CLASS_RATIO = 1.5
 FRAGMENT_GRAMS = 2048
 BITMAP_BITS = 1 << 24
-SIGNATURE = "doc_id bigint, n_shingles bigint, set bigint, segments array<bigint>"
+KEY_BITS = 1 << 28
+SKETCH_BITS = 1024
+SIGNATURE = "doc_id bigint, n_shingles bigint, set bigint, sketch array<bigint>"
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray]:
@@ -67,24 +71,28 @@ class Cuts:
         self.percent = percent
         self.bounds = [-(-percent // (100 - percent))]
 
-    def differing(self, size: int) -> int:
-        """N-grams in which two linked sets can differ, the smaller one having `size`."""
-        return size * (100 - self.percent) // self.percent
+    def differing(self, size: int, other: int) -> int:
+        """N-grams in which two linked sets of these sizes can differ."""
+        return (size + other) * (100 - self.percent) // (100 + self.percent)
 
-    def classes(self, size: int) -> list[tuple[int, int]]:
-        """(class, fragments) under which a set of this size is filed; none if only an equal set can be linked."""
+    def classes(self, size: int) -> list[tuple[int, int, int]]:
+        """(class, fragments, n-grams that can differ) under which a set of this size is filed; none if only an equal set can be linked.
+
+        Two linked sets meet in the class of the larger one.
+        """
         if size < self.bounds[0]:
             return []
-        while self.bounds[-1] <= size * 100 // self.percent:
+        largest = size * 100 // self.percent
+        while self.bounds[-1] <= largest:
             self.bounds.append(int(-(-self.bounds[-1] * CLASS_RATIO // 1)))
         own = int(np.searchsorted(self.bounds, size, side="right")) - 1
-        last = int(np.searchsorted(self.bounds, size * 100 // self.percent, side="right")) - 1
+        last = int(np.searchsorted(self.bounds, largest, side="right")) - 1
         if last + 1 >= len(self.bounds):
             self.bounds.append(int(-(-self.bounds[-1] * CLASS_RATIO // 1)))
-        return [(c, self._fragments(c)) for c in range(own, last + 1)]
+        return [(c, self._fragments(c), self.differing(size, min(largest, self.bounds[c + 1] - 1))) for c in range(own, last + 1)]
 
     def _fragments(self, c: int) -> int:
-        most = self.differing(self.bounds[c + 1] - 1)
+        most = self.differing(self.bounds[c + 1] - 1, self.bounds[c + 1] - 1)
         return most + 1 + most // 16
 
 
@@ -92,8 +100,8 @@ def segment_keys(grams: np.ndarray, cuts: Cuts) -> np.ndarray:
     """Hashes of the non-empty segments of one set, under all cuts it needs."""
     keys = []
     with np.errstate(over="ignore"):
-        for c, fragments in cuts.classes(len(grams)):
-            spare = fragments - cuts.differing(len(grams))
+        for c, fragments, differing in cuts.classes(len(grams)):
+            spare = fragments - differing
             for order in range(64):
                 values = grams if order == 0 else np.sort(mix(grams + np.uint64(order)))
                 at = ((values >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
@@ -106,29 +114,74 @@ def segment_keys(grams: np.ndarray, cuts: Cuts) -> np.ndarray:
     return np.concatenate(keys) if keys else grams[:0]
 
 
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, set, segments): the hash of the whole set and those of its segments."""
+def _whole(grams: np.ndarray) -> np.uint64:
+    """Hash of a set."""
+    with np.errstate(over="ignore"):
+        return mix(~grams).sum(dtype=np.uint64)
+
+
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Parities of the n-grams in each of `SKETCH_BITS` places. Two sketches differ in no more bits than the sets in n-grams."""
+    odd = np.bincount((grams & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, set, sketch): size, hash and sketch of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = Cuts(percent)
         for batch in batches:
             for low, high, texts in blocks(batch):
                 found = words(texts)
                 sets = shingle_hashes(found.hash, found.first, n)
-                with np.errstate(over="ignore"):
-                    whole = np.array([mix(~s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
-                segments = [segment_keys(s, cuts) for s in sets]
+                sketches = [sketch(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id")[low:high], pa.array([len(s) for s in sets], pa.int64()), longs(whole),
-                        ragged(np.concatenate(segments), np.array([len(s) for s in segments])),
+                        batch.column("doc_id")[low:high], pa.array([len(s) for s in sets], pa.int64()),
+                        longs(np.array([_whole(s) for s in sets], dtype=np.uint64)),
+                        ragged(np.concatenate(sketches), np.array([len(s) for s in sketches])),
                     ],
-                    ["doc_id", "n_shingles", "set", "segments"],
+                    ["doc_id", "n_shingles", "set", "sketch"],
                 )
 
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, SIGNATURE)
 
 
+def filed(docs: DataFrame, n: int, percent: int, wanted: Broadcast | None = None) -> DataFrame:
+    """(key, set) of all segments; only those with a key in the bitmap `wanted`, if given. Made anew rather than kept on disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = Cuts(percent)
+        for batch in batches:
+            for _, _, texts in blocks(batch):
+                found = words(texts)
+                sets = {int(_whole(s)): s for s in shingle_hashes(found.hash, found.first, n) if len(s)}
+                keys = [segment_keys(s, cuts) for s in sets.values()]
+                if not keys:
+                    continue
+                owner = np.repeat(np.array(list(sets), dtype=np.uint64), [len(k) for k in keys])
+                key = np.concatenate(keys)
+                if wanted is not None:
+                    at = key & np.uint64(KEY_BITS - 1)
+                    keep = (wanted.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    key, owner = key[keep], owner[keep]
+                yield pa.RecordBatch.from_arrays([longs(key), longs(owner)], ["key", "set"])
+
+    source = docs.where("doc_id IS NOT NULL").selectExpr("CAST(text AS STRING) AS text")
+    return source.mapInArrow(run, "key bigint, set bigint")
+
+
+def _bitmap(places: DataFrame, bits: int) -> Broadcast:
+    """Bitmap of fixed size with the places `at` (from 0) of a frame set."""
+    one = places.selectExpr("at + 1 AS at").selectExpr("bitmap_bucket_number(at) AS bucket", "bitmap_bit_position(at) AS position")
+    parts = one.repartition("bucket").groupBy("bucket").agg(F.expr("bitmap_construct_agg(position)").alias("bits"))
+    flags = np.zeros(max(bits // 8, 4096), dtype=np.uint8)
+    for row in parts.toLocalIterator():  # at most `bits` / 32768 rows of 4 KB
+        low = (row.bucket - 1) * 4096
+        flags[low : low + 4096] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
+    return places.sparkSession.sparkContext.broadcast(flags)
+
+
 def _level(size: int) -> int:
     """The order is cut into 2 to this power fragments for counting."""
     return ((size - 1) // FRAGMENT_GRAMS).bit_length()
@@ -144,20 +197,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int, percent: int) -> DataFrame:
     A bitmap of fixed size drops most other documents before their text is hashed; the joins that follow are exact.
     """
     place = f"CAST(pmod(xxhash64(doc), {BITMAP_BITS}) AS BIGINT)"
-    parts = ids.selectExpr(f"{place} AS at").groupBy(F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("bits")
-    )
-    flags = np.zeros(BITMAP_BITS // 8 + 4096, dtype=np.uint8)
-    for row in parts.toLocalIterator():  # at most 513 rows of 4 KB
-        low = (row.bucket - 1) * 4096
-        flags[low : low + 4096] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
-    wanted = docs.sparkSession.sparkContext.broadcast(flags)
+    wanted = _bitmap(ids.distinct().selectExpr(f"{place} AS at"), BITMAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(wanted.value, bitorder="little")
         for batch in batches:
             at = batch.column("at").to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array(bits[at - 1] > 0))
+            batch = batch.filter(pa.array(bits[at] > 0))
             for low, _, texts in blocks(batch):
                 found = words(texts)
                 ids, levels, where, counts, values = [], [], [], [], []
@@ -178,8 +224,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int, percent: int) -> DataFrame:
                     )
 
     source = docs.where("doc_id IS NOT NULL").selectExpr("CAST(doc_id AS BIGINT) AS doc", "CAST(text AS STRING) AS text")
-    # Positions of a bitmap begin with 1 at value 1; value 0 is the last bit of the bucket below, hence the shift.
-    return source.selectExpr("doc", "text", f"CASE WHEN {place} = 0 THEN {BITMAP_BITS} ELSE {place} END AS at").mapInArrow(
+    return source.selectExpr("doc", "text", f"{place} AS at").mapInArrow(
         run, "doc bigint, level int, fragment bigint, grams array<bigint>"
     )
 
@@ -202,27 +247,39 @@ def _near_size(percent: int, a: str = "n_a", b: str = "n_b") -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
+def _alike(percent: int) -> str:
+    """Whether the sketches of a and b allow a link (exact: no link is ruled out)."""
+    bits = " + ".join(f"bit_count(sketch_a[{i}] ^ sketch_b[{i}])" for i in range(SKETCH_BITS // 64))
+    return f"({bits}) * {100 + percent}L <= (n_a + n_b) * {100 - percent}"
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    a, b = (classes.selectExpr(f"doc AS {side}", f"sketch AS sketch_{side}") for side in "ab")
+    return pairs.join(a, "a").join(b, "b").where(_alike(percent)).select("a", "b", "n_a", "n_b")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable over links of `percent` or more."""
-    signed = settle(signatures(docs, n, percent))
+    signed = settle(signatures(docs, n))
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set").agg(
-        F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n")
+        F.min("doc_id").alias("doc"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch")
+    )
+    shared = settle(
+        filed(docs, n, percent).groupBy("key").agg(F.min("set").alias("l"), F.max("set").alias("h")).where("l <> h").select("key")
     )
-    filed = signed.where("doc_id IS NOT NULL").select(F.explode("segments").alias("key"), "set")
-    shared = filed.groupBy("key").agg(F.min("set").alias("l"), F.max("set").alias("h")).where("l <> h").select("key")
-    met = settle(filed.join(shared, "key").distinct().join(classes, "set").select("key", "doc", "n"))
+    # The bitmap keeps most segments that nobody shares out of the shuffle; the join is exact.
+    again = filed(docs, n, percent, _bitmap(shared.selectExpr(f"pmod(key, {KEY_BITS}L) AS at"), KEY_BITS))
+    met = settle(again.join(shared, "key").distinct().join(classes.drop("sketch"), "set").select("key", "doc", "n"))
     members = settle(_with_centre(met))
     heads = members.where("doc = first").selectExpr("key", "doc AS a", "n AS n_a")
-    pairs = settle(
-        members.where("doc <> first").selectExpr("key", "doc AS b", "n AS n_b").join(heads, "key")
-        .where(_near_size(percent)).select("a", "b", "n_a", "n_b").distinct()
-    )
-    links = settle(_linked(docs, pairs, n, percent))
+    starred = members.where("doc <> first").selectExpr("key", "doc AS b", "n AS n_b").join(heads, "key")
+    near = starred.where(_near_size(percent)).select("a", "b", "n_a", "n_b").distinct()
+    links = settle(_linked(docs, settle(_plausible(near, classes, percent)), n, percent))
     labels = components_of_pairs(_nodes(links), links, "a", "b").selectExpr("a AS doc", "component AS label")
 
     open_groups = _open_groups(members, labels)
     if not open_groups.isEmpty():
-        more = settle(_linked(docs, settle(_across(docs, open_groups, n, percent)), n, percent))
+        more = settle(_linked(docs, settle(_across(docs, open_groups, classes, n, percent)), n, percent))
         if not more.isEmpty():
             links = settle(links.union(more))
             labels = components_of_pairs(_nodes(links), links, "a", "b").selectExpr("a AS doc", "component AS label")
@@ -257,8 +314,8 @@ def _open_groups(members: DataFrame, labels: DataFrame) -> DataFrame:
     return settle(labelled.join(split.where("l < h AND k > 2").select("key"), "key"))
 
 
-def _across(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs of open groups in different components that the bound on their own n-grams leaves.
+def _across(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs of open groups in different components that the sketches and the bound on their own n-grams leave.
 
     An n-gram that no other document of any open group has can't be shared, so `n - alone` bounds the overlap.
     """
@@ -270,13 +327,13 @@ def _across(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFra
         .groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
     )
     kept = settle(
-        groups.where("doc <> first").join(alone, "doc", "left")
-        .selectExpr("key", "doc", "n", "label", "n - coalesce(alone, 0L) AS most").where(f"100 * most >= {percent} * n")
+        groups.where("doc <> first").join(alone, "doc", "left").join(classes.select("doc", "sketch"), "doc")
+        .selectExpr("key", "doc", "n", "label", "sketch", "n - coalesce(alone, 0L) AS most").where(f"100 * most >= {percent} * n")
     )
-    left = kept.selectExpr("key", "doc AS a", "n AS n_a", "label AS label_a", "most AS most_a")
-    right = kept.selectExpr("key", "doc AS b", "n AS n_b", "label AS label_b", "most AS most_b")
+    left = kept.selectExpr("key", "doc AS a", "n AS n_a", "label AS label_a", "most AS most_a", "sketch AS sketch_a")
+    right = kept.selectExpr("key", "doc AS b", "n AS n_b", "label AS label_b", "most AS most_b", "sketch AS sketch_b")
     possible = f"{100 + percent} * least(most_a, most_b) >= {percent} * (n_a + n_b)"
-    found = left.join(right, "key").where(f"a < b AND label_a <> label_b AND {_near_size(percent)} AND {possible}")
+    found = left.join(right, "key").where(f"a < b AND label_a <> label_b AND {_near_size(percent)} AND {possible} AND {_alike(percent)}")
     return found.select("a", "b", "n_a", "n_b").distinct()
 
 
