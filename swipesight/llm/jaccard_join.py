@@ -39,6 +39,7 @@ FRAGMENT_GRAMS = 2048
 BITMAP_BITS = 1 << 24
 KEY_BITS = 1 << 28
 SKETCH_BITS = 1024
+BROADCAST_IDS = 1_000_000
 SIGNATURE = "doc_id bigint, n_shingles bigint, set bigint, sketch array<bigint>"
 
 
@@ -323,7 +324,7 @@ def _across(docs: DataFrame, groups: DataFrame, classes: DataFrame, n: int, perc
     sets = sets_of(docs, docs_in, n, percent).join(docs_in, ["doc", "level"], "left_semi")
     grams = sets.select("doc", F.explode("grams").alias("gram"))
     alone = (
-        grams.distinct().groupBy("gram").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other")
+        grams.groupBy("gram").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc = other")
         .groupBy("doc").agg(F.count(F.lit(1)).alias("alone"))
     )
     kept = settle(
@@ -343,5 +344,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Of rows that repeat a doc_id, all stay if it is their component's smallest.
     """
     found = jaccard_components(docs, n, percent)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = settle(found.where("doc_id <> component_id").select("doc_id").distinct())
+    # Few enough ids (8 MB) are sent to the documents; more are joined by a shuffle.
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
