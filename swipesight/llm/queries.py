@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from swipesight.llm import decontaminate, jaccard_join, katz, language, line_dedup, merkle, mixing, site_tree, surrogates, url_filter
+from swipesight.llm import decontaminate, jaccard_join, katz, language, line_dedup, merkle, mixing, oracle, site_tree, surrogates, url_filter
 
 # The rules that the url query is asked for.
 RULES = [
@@ -72,4 +72,6 @@ def entries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_url_filter": oracle.URL_FILTER, "op5_ngram_jaccard_join": oracle.JACCARD, "op9_decontamination": oracle.DECONTAMINATION,
+    }
