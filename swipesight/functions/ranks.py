@@ -3,7 +3,7 @@
 An unpartitioned ordered window, and a `percentile` aggregate, each bring all distinct values of
 a group to one task. Here a value-count table (one row per distinct value, so repeated values
 cost nothing) is cut into value ranges; running totals are made within each range and shifted by
-the totals of the ranges below. Results are exact: the approximate cuts only balance the ranges.
+the totals of the ranges below. Results are exact wherever the cuts lie; ranges grow in number with the shuffle partitions.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RANGES = 64
+from swipesight.session import settle
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), **sums: str) -> DataFrame:
@@ -28,44 +28,36 @@ def running_totals(
     order: str,
     totals: Sequence[str],
     by: Sequence[str] = (),
-    ranges: int = RANGES,
+    ranges: int | None = None,
     keep_range: str | None = None,
 ) -> DataFrame:
     """Add `<c>_through` (sum of c up to and with this row) and `<c>_all` for each c in `totals`.
 
-    `counts` holds one row per (by, order). `by` must be a short, known list of groups (labels,
-    column names): its tables of cuts and offsets, `ranges` rows per group, are broadcast.
+    `counts` holds one row per (by, order). It is dealt out by range, into as many parts as the session shuffles to (or
+    `ranges`), and settled, so that a part is the same rows whenever it is read. Parts hold distinct values, so none is
+    hot. The table of offsets has at most a row per part and group of `by`; Spark picks its join by its size.
     `keep_range` drops whole ranges before their rows are shuffled; it may use `_<c>_below`, `_<c>`
     (the total of the range) and `<c>_all`.
     """
-    group = list(by) or ["_all"]
-    keys = ", ".join(f"`{g}`" for g in group)
-    base = counts if by else counts.selectExpr("*", "0 AS _all")
-    shares = ", ".join(f"{(i + 1) / ranges}D" for i in range(ranges - 1))
-    cuts = base.groupBy(*group).agg(
-        F.expr(f"percentile_approx({order}, array({shares}), {20 * ranges})").alias("_cuts")
-    )
-    kept = [f"`{c}`" for c in base.columns]
-    placed = base.join(F.broadcast(cuts), group).selectExpr(
-        *kept, f"size(filter(_cuts, edge -> edge < {order})) AS _range"
-    )
-    per_range = placed.groupBy(*group, "_range").agg(
-        *[F.expr(f"sum({t})").alias(f"_{t}") for t in totals]
-    )
-    before = f"PARTITION BY {keys} ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    keys = [f"`{b}`" for b in by]
+    dealt = (ranges,) if ranges else ()
+    placed = settle(counts.repartitionByRange(*dealt, *by, order).withColumn("_range", F.spark_partition_id()))
+    per_range = placed.groupBy(*by, "_range").agg(*[F.expr(f"sum({t})").alias(f"_{t}") for t in totals])
+    group = f"PARTITION BY {', '.join(keys)}" if by else ""
+    before = f"{group} ORDER BY _range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     offsets = per_range.selectExpr(
         "*",
         *[f"coalesce(sum(_{t}) OVER ({before}), 0) AS _{t}_below" for t in totals],
-        *[f"sum(_{t}) OVER (PARTITION BY {keys}) AS {t}_all" for t in totals],
+        *[f"sum(_{t}) OVER ({group}) AS {t}_all" for t in totals],
     )
     if keep_range is not None:
         offsets = offsets.where(keep_range)
     offsets = offsets.drop(*[f"_{t}" for t in totals])
     inside = (
-        f"PARTITION BY {keys}, _range ORDER BY {order} "
+        f"PARTITION BY {', '.join([*keys, '_range'])} ORDER BY {order} "
         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     )
-    return placed.join(F.broadcast(offsets), [*group, "_range"]).selectExpr(
+    return placed.join(offsets, [*by, "_range"]).selectExpr(
         *[f"`{c}`" for c in counts.columns],
         *[f"sum({t}) OVER ({inside}) + _{t}_below AS {t}_through" for t in totals],
         *[f"{t}_all" for t in totals],

@@ -28,7 +28,8 @@ def _position(cuts: Column, row: Column) -> Column:
             .otherwise(F.struct(at["low"].alias("low"), middle.alias("high")))
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, halve)["low"]
+    steps = F.length(F.bin(F.size(cuts)))  # bits of the number of cuts
+    return F.aggregate(F.sequence(F.lit(1), steps), start, halve)["low"]
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:

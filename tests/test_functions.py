@@ -56,9 +56,10 @@ def test_quantiles_by_group(spark):
     assert got == {("a", 0.5): 49.5, ("a", 0.75): 74.25, ("b", 0.5): 25.0, ("b", 0.75): 56.5}
 
 
-def test_running_totals(spark):
+@pytest.mark.parametrize("ranges", [None, 1, 7, 200])
+def test_running_totals(spark, ranges):
     df = spark.createDataFrame([(i * 7 % 101, i) for i in range(101)], "k int, n int")
-    got = {r["k"]: r["n_through"] for r in ranks.running_totals(df, "k", ["n"], ranges=8).collect()}
+    got = {r["k"]: r["n_through"] for r in ranks.running_totals(df, "k", ["n"], ranges=ranges).collect()}
     total = 0
     for k, n in sorted((i * 7 % 101, i) for i in range(101)):
         total += n
