@@ -7,7 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from swipesight.llm import decontaminate, jaccard_join, katz, language, line_dedup, merkle, mixing, oracle, site_tree, surrogates, url_filter
+from swipesight.llm import (
+    decontaminate, jaccard_join, katz, language, line_dedup, manifest, merkle, mixing, oracle, site_tree, surrogates, url_filter,
+)
 
 # The rules that the url query is asked for.
 RULES = [
@@ -62,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import re
+import zlib
 from collections import Counter
 from math import log10
 
@@ -108,3 +109,58 @@ class Katz:
                 total += log10(self.p1(t)) - log10(self.p1_class(c))
             h = c
         return total
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _enc(value):
+    return "-" if value is None else f"{len(str(value).encode())}:{value}"
+
+
+def manifest_leaf(doc_id, source, lang, n_chars, text):
+    return sha("".join(_enc(v) for v in (doc_id, source, lang, n_chars, text)))
+
+
+def merkle_paths(hashes, arity):
+    """Top and, per node, the (left, right) siblings of each level."""
+    current, place, paths = list(hashes), list(range(len(hashes))), [[] for _ in hashes]
+    while len(current) > 1:
+        for i, p in enumerate(place):
+            start = p - p % arity
+            run = current[start : start + arity]
+            paths[i].append(("".join(run[: p - start]), "".join(run[p - start + 1 :])))
+        current = [sha("".join(current[s : s + arity])) for s in range(0, len(current), arity)]
+        place = [p // arity for p in place]
+    return current[0], paths
+
+
+def manifest(rows, arity=16, tampered=lambda doc_id: doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0):
+    """rows: (doc_id, source, lang, n_chars, text). Result: {doc_id: [(leaf, subroot, root, proof, folded, verified)]}."""
+    leaves = [(r, manifest_leaf(*r)) for r in rows]
+    by_source = {}
+    for r, leaf in leaves:
+        by_source.setdefault(r[1], []).append((r, leaf))
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    subroots, inner = [], {}
+    for s in sources:
+        members = sorted(by_source[s], key=lambda x: (x[0][0] is None, x[0][0] or 0, x[1]))
+        top, paths = merkle_paths([leaf for _, leaf in members], arity)
+        subroots.append(top)
+        inner[s] = (members, paths, top)
+    root, top_paths = merkle_paths(subroots, arity)
+    out = {}
+    for k, s in enumerate(sources):
+        members, paths, top = inner[s]
+        for (r, leaf), path in zip(members, paths):
+            full = path + top_paths[k]
+            text = r[4]
+            if tampered(r[0]) and text is not None:
+                text = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            folded = manifest_leaf(r[0], r[1], r[2], r[3], text)
+            for left, right in full:
+                folded = sha(left + folded + right)
+            proof = sha("".join(left + right for left, right in full))
+            out.setdefault(r[0], []).append((leaf, top, root, proof, folded, folded == root))
+    return out
