@@ -133,3 +133,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coa
     sha256(coalesce(names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM tokens LEFT JOIN hit_words h USING (r) LEFT JOIN hit_items m USING (r)
 """
+
+# All anchors against all rows: brute force, for checking only.
+HARD_NEGATIVES = """
+WITH v AS (
+    SELECT CAST(vec_id AS BIGINT) AS vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x) OR abs(floor(256 * CAST(x AS DOUBLE))) >= 2147483648)) = 0
+), parts AS (
+    SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v
+), q AS (
+    SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS q FROM parts
+), products AS (
+    SELECT a.vec_id AS anchor_id, c.vec_id AS cand, sum(a.q * c.q) AS s FROM q a JOIN q c ON a.i = c.i WHERE a.vec_id % 100 = 0 GROUP BY ALL
+), scored AS (
+    SELECT a.vec_id AS anchor_id, a.label AS alabel, c.vec_id AS cand, c.label AS clabel, coalesce(p.s, 0) AS score
+    FROM v a JOIN v c ON a.vec_id % 100 = 0 LEFT JOIN products p ON p.anchor_id = a.vec_id AND p.cand = c.vec_id
+), pos AS (
+    SELECT * FROM (
+        SELECT anchor_id, alabel, cand AS positive_id, score AS positive_score,
+            row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, cand) AS k
+        FROM scored WHERE clabel = alabel AND cand <> anchor_id
+    ) WHERE k <= 5
+), neg AS (
+    SELECT p.anchor_id, p.positive_id, p.positive_score, s.cand AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.cand) AS rank
+    FROM pos p JOIN scored s ON s.anchor_id = p.anchor_id AND s.clabel <> p.alabel
+        AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 5
+"""

@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from swipesight.llm import (
-    decontaminate, jaccard_join, katz, language, line_dedup, manifest, merkle, mixing, oracle, site_tree, surrogates, url_filter,
+    decontaminate, hard_negatives, jaccard_join, katz, language, line_dedup, manifest, merkle, mixing, oracle, site_tree, surrogates, url_filter,
 )
 
 # The rules that the url query is asked for.
@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(_table(spark, sf_dir, "documents"))
 
@@ -80,4 +84,5 @@ def entries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": oracle.URL_FILTER, "op5_ngram_jaccard_join": oracle.JACCARD, "op9_decontamination": oracle.DECONTAMINATION,
+        "op12_hard_negatives": oracle.HARD_NEGATIVES,
     }

@@ -164,3 +164,26 @@ def manifest(rows, arity=16, tampered=lambda doc_id: doc_id is not None and zlib
             proof = sha("".join(left + right for left, right in full))
             out.setdefault(r[0], []).append((leaf, top, root, proof, folded, folded == root))
     return out
+
+
+def hard_negatives(rows, every=100, low=80, top=5):
+    """rows: (vec_id, label, vector). Result rows as the operator gives them."""
+    kept = []
+    for vec_id, label, vector in rows:
+        if vec_id is None or label is None or vector is None:
+            continue
+        if any(x is None or x != x or abs(x) == float("inf") for x in vector):
+            continue
+        label = (label + 1) % 10 if vec_id % 7 == 0 else label
+        kept.append((vec_id, label, [int(256 * float(x) // 1) for x in vector]))
+    out = []
+    for a_id, a_label, a in kept:
+        if a_id % every:
+            continue
+        scored = [(sum(x * y for x, y in zip(a, q)), v, lab) for v, lab, q in kept]
+        order = sorted(scored, key=lambda t: (-t[0], t[1]))
+        positives = [t for t in order if t[2] == a_label and t[1] != a_id][:top]
+        for ps, p_id, _ in positives:
+            fits = [t for t in order if t[2] != a_label and low * ps <= 100 * t[0] <= 100 * ps][:top]
+            out += [(a_id, p_id, k + 1, n_id, ps, ns) for k, (ns, n_id, _) in enumerate(fits)]
+    return sorted(out)
