@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from swipesight.llm import (
-    decontaminate, hard_negatives, jaccard_join, katz, language, line_dedup, manifest, merkle, mixing, oracle, site_tree, surrogates, url_filter,
+    decontaminate, hard_negatives, quality_crf, jaccard_join, katz, language, line_dedup, manifest, merkle, mixing, oracle, site_tree, surrogates, url_filter,
 )
 
 # The rules that the url query is asked for.
@@ -64,6 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.folded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
 
