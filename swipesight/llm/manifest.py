@@ -50,64 +50,78 @@ def _number(nodes: DataFrame, group: str, order: str) -> DataFrame:
     )
 
 
-def _level(nodes: DataFrame, group: str, arity: int) -> tuple[DataFrame, DataFrame]:
-    """Parents and the sibling steps of the nodes of groups that still have several nodes."""
+def _runs(nodes: DataFrame, group: str, arity: int, extras: tuple[str, ...] = ()) -> DataFrame:
+    """Runs of the groups that still have several nodes: the slot-zero rows joined with their siblings by computed index."""
     active = nodes.where("count > 1").selectExpr(
-        group, "idx", "hash", "count", f"pmod(idx, {arity}) AS slot", f"idx - pmod(idx, {arity}) AS base"
+        group, "hash", "count", *extras, f"pmod(idx, {arity}) AS slot", f"idx - pmod(idx, {arity}) AS base"
     )
     zero = active.where("slot = 0").selectExpr(group, "base", "count")
-    siblings = active.select(group, "base", "slot", "hash")
-    runs = (
+    siblings = active.select(group, "base", "slot", "hash", *extras)
+    fields = ", ".join(["slot", "hash", *extras])
+    return (
         zero.join(siblings, [group, "base"])
         .groupBy(group, "base", "count")
-        .agg(F.expr("transform(array_sort(collect_list(struct(slot, hash))), x -> x.hash)").alias("run"))
+        .agg(F.expr(f"array_sort(collect_list(struct({fields})))").alias("members"))
     )
-    parents = runs.selectExpr(
-        group, f"base div {arity} AS idx", "sha2(array_join(run, ''), 256) AS hash", f"CAST(ceil(count / {arity}) AS BIGINT) AS count"
-    )
-    steps = runs.selectExpr(group, "base", "posexplode(run) AS (slot, hash)", "run").selectExpr(
-        group,
-        "base + slot AS idx",
-        "named_struct('left', array_join(slice(run, 1, slot), ''), 'right', array_join(slice(run, slot + 2, size(run)), '')) AS step",
+
+
+def _parents(runs: DataFrame, group: str, arity: int) -> DataFrame:
+    return runs.selectExpr(
+        group, f"base div {arity} AS idx", "sha2(array_join(members.hash, ''), 256) AS hash",
+        f"CAST(ceil(count / {arity}) AS BIGINT) AS count",
     )
-    return settle(parents), steps
 
 
-def _tree(nodes: DataFrame, group: str, arity: int) -> tuple[DataFrame, DataFrame]:
-    """(group, idx, path) for every node given, and (group, top) for the one node each group ends with.
+_STEP = (
+    "named_struct('left', array_join(slice(members.hash, 1, m.slot), ''), "
+    "'right', array_join(slice(members.hash, m.slot + 2, size(members)), '')) AS step"
+)
+_EMPTY = "CAST(array() AS ARRAY<STRUCT<left: STRING, right: STRING>>)"
+
 
-    `nodes` holds group, idx, hash and count (nodes in the group). Levels are built while a group has several nodes.
+def _paths(nodes: DataFrame, group: str, arity: int, extras: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(group, hash, extras..., path) for every node given, and (group, top) for the node each group ends with.
+
+    `nodes` holds group, idx, hash, count (nodes in its group) and extras. Paths of the levels above the first are built
+    top-down on tables of a sixteenth of the rows and less; the first level's runs are joined to them before they are
+    taken apart, so that whole paths of the nodes given are never shuffled or written.
     """
     most = nodes.agg(F.max("count")).first()[0] or 0
-    levels, all_steps, tops = [nodes], [], [nodes.where("count = 1").selectExpr(group, "hash AS top")]
+    tops = [nodes.where("count = 1").selectExpr(group, "hash AS top")]
+    single = nodes.where("count = 1").selectExpr(group, "hash", *extras, f"{_EMPTY} AS path")
+    if most <= 1:
+        return single, tops[0]
+    first = settle(_runs(nodes, group, arity, extras))
+    level, steps = settle(_parents(first, group, arity)), []
+    tops.append(level.where("count = 1").selectExpr(group, "hash AS top"))
+    most = -(-most // arity)
     while most > 1:
-        parents, steps = _level(levels[-1], group, arity)
-        levels.append(parents)
-        all_steps.append(steps)
-        tops.append(parents.where("count = 1").selectExpr(group, "hash AS top"))
+        runs = _runs(level, group, arity)
+        steps.append(runs.selectExpr(group, "base", "explode(members) AS m", "members").selectExpr(group, "base + m.slot AS idx", _STEP))
+        level = settle(_parents(runs, group, arity))
+        tops.append(level.where("count = 1").selectExpr(group, "hash AS top"))
         most = -(-most // arity)
-    empty = "CAST(array() AS ARRAY<STRUCT<left: STRING, right: STRING>>)"
-    path = None  # paths of the nodes one level up
-    for depth in range(len(all_steps) - 1, -1, -1):
-        here = all_steps[depth]
+    path = None  # of the nodes of the level above the one at hand
+    for here in reversed(steps):
         if path is not None:
-            up = path.selectExpr(group, "idx AS _up", "path AS _path")
-            here = here.join(up, (here[group] == up[group]) & (F.expr(f"idx div {arity}") == up["_up"]), "left").select(
-                here[group], "idx", "step", "_path"
-            )
-            here = here.selectExpr(group, "idx", f"concat(array(step), coalesce(_path, {empty})) AS path")
+            up = path.selectExpr(f"{group} AS _g", "idx AS _up", "path AS _path")
+            here = here.join(up, (here[group] == up["_g"]) & (F.expr(f"idx div {arity}") == up["_up"]), "left")
+            here = here.selectExpr(group, "idx", f"concat(array(step), coalesce(_path, {_EMPTY})) AS path")
         else:
             here = here.selectExpr(group, "idx", "array(step) AS path")
         path = settle(here)
-    bottom = levels[0].selectExpr(group, "idx")
-    if path is None:
-        full = bottom.selectExpr(group, "idx", f"{empty} AS path")
+    if path is not None:
+        up = path.selectExpr(f"{group} AS _g", "idx AS _up", "path AS _path")
+        first = first.join(up, (first[group] == up["_g"]) & (F.expr(f"base div {arity}") == up["_up"]), "left")
     else:
-        full = bottom.join(path, [group, "idx"], "left").selectExpr(group, "idx", f"coalesce(path, {empty}) AS path")
+        first = first.withColumn("_path", F.expr(_EMPTY))
+    nodes_out = first.selectExpr(group, "explode(members) AS m", "members", "_path").selectExpr(
+        group, "m.hash AS hash", *[f"m.{e} AS {e}" for e in extras], f"concat(array({_STEP.rsplit(' AS ', 1)[0]}), coalesce(_path, {_EMPTY})) AS path"
+    )
     top = tops[0]
     for more in tops[1:]:
         top = top.unionByName(more)
-    return full, top
+    return nodes_out.unionByName(single), top
 
 
 def manifest(docs: DataFrame, arity: int = ARITY, tamper: str = "pmod(crc32(CAST(doc_id AS STRING)), 5) = 0") -> DataFrame:
@@ -118,23 +132,20 @@ def manifest(docs: DataFrame, arity: int = ARITY, tamper: str = "pmod(crc32(CAST
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     changed = f"IF(coalesce({tamper}, false), translate(text, '{upper}', '{lower}'), text)"
-    leaves = settle(
-        docs.selectExpr(
-            "IF(source IS NULL, '', concat('s', source)) AS _grp",
-            "doc_id",
-            f"{leaf_sql()} AS hash",
-            f"{leaf_sql(changed)} AS changed",
-            "monotonically_increasing_id() AS _row",
-        ).withColumn("_key", F.expr("struct(doc_id IS NULL, doc_id, hash, _row)"))
+    leaves = docs.selectExpr(
+        "IF(source IS NULL, '', concat('s', source)) AS _grp",
+        f"struct(doc_id IS NULL AS null_id, doc_id, {leaf_sql()} AS hash, monotonically_increasing_id() AS row) AS _key",
+        f"{leaf_sql(changed)} AS changed",
     )
-    numbered = settle(_number(leaves, "_grp", "_key"))
-    path, subroots = _tree(numbered.select("_grp", "idx", "hash", "count"), "_grp", arity)
-    ordered = settle(_number(subroots.withColumn("_top", F.lit(0)), "_top", "_grp"))
-    top_path, root = _tree(ordered.selectExpr("_top", "idx", "top AS hash", "count"), "_top", arity)
-    per_source = ordered.join(top_path, ["_top", "idx"]).selectExpr("_grp", "_top", "top AS subroot", "path AS top_path")
+    numbered = _number(leaves, "_grp", "_key").selectExpr("_grp", "idx", "count", "_key.hash AS hash", "_key.doc_id AS doc_id", "changed")
+    leaf_paths, subroots = _paths(numbered, "_grp", arity, ("doc_id", "changed"))
+    ordered = _number(subroots.withColumn("_top", F.lit(0)), "_top", "_grp").selectExpr("_top", "idx", "count", "top AS hash", "_grp")
+    top_paths, root = _paths(ordered, "_top", arity, ("_grp",))
     # One row: the root.
-    rooted = per_source.join(F.broadcast(root.selectExpr("_top", "top AS root")), "_top")
-    joined = numbered.join(path, ["_grp", "idx"]).join(rooted, "_grp")
+    per_source = top_paths.join(F.broadcast(root.selectExpr("_top", "top AS root")), "_top").selectExpr(
+        "_grp", "hash AS subroot", "path AS top_path", "root"
+    )
+    joined = leaf_paths.join(per_source, "_grp")
     full = "concat(path, top_path)"
     return joined.selectExpr(
         "doc_id",
