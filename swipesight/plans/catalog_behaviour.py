@@ -12,6 +12,7 @@ from swipesight.plans.catalog_customers import _qcut, _spine, on, txn
 from swipesight.plans.oracle import with_activity, with_txn
 from swipesight.plans.query import Query, form
 from swipesight.sources import fixtures
+from swipesight.streaming.intervals import drain_intervals
 
 TIME_FORM = (
     "transaction_id !transaction_date #transaction_hour #transaction_day #transaction_dow #transaction_month "
@@ -261,6 +262,11 @@ def entries() -> dict[str, Query]:
         form(with_txn("""SELECT time_bucket(INTERVAL 15 MINUTE, timestamp) AS interval_start, count(*) AS transactions,
           count(*) FILTER (WHERE is_fraud) AS fraud, avg(CAST(is_fraud AS INTEGER)) AS fraud_rate FROM txn GROUP BY 1"""),
              "@interval_start #transactions #fraud ~fraud_rate"))
+    q["interval_stream_counts"] = Query(
+        lambda spark, sf: drain_intervals(spark, fixtures.transactions(spark, sf, ["transaction_id", "timestamp", "is_fraud"])),
+        form(with_txn("""SELECT time_bucket(INTERVAL 15 MINUTE, timestamp) AS interval_start, count(*) AS transactions,
+          count(*) FILTER (WHERE is_fraud) AS fraud, avg(CAST(is_fraud AS INTEGER)) AS fraud_rate FROM txn GROUP BY 1"""),
+             "@interval_start #transactions #fraud ~fraud_rate"))
     q["hourly_series"] = Query(
         on(txn("timestamp", "is_fraud"), tm.hourly_series),
         form(with_txn(SERIES + "SELECT * FROM se"), "@hour_start ~fraud_rate #t"))

@@ -12,6 +12,7 @@ from swipesight.operators.fraud import compare_groups
 from swipesight.plans.oracle import with_txn
 from swipesight.plans.query import Query, form
 from swipesight.sources import fixtures
+from swipesight.streaming import scoring
 
 CATEGORIES = ["PROMO", "ECONOMY"]
 
@@ -97,6 +98,23 @@ sc AS (SELECT *, CAST(rule_amount AS INTEGER) + CAST(rule_risky_abroad AS INTEGE
     + CAST(rule_frequent AS INTEGER) AS suspicious_score FROM rules),
 scored AS (SELECT *, suspicious_score >= 2 AS is_suspicious FROM sc)
 """
+CAUSAL = """, prev AS (SELECT *, (epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (
+      PARTITION BY customer_id ORDER BY timestamp, transaction_id)) / 1e6 AS gap_all,
+    count(amount) OVER w AS n, avg(amount) OVER w AS mean_prev, stddev_samp(amount) OVER w AS std_prev FROM txn
+    WINDOW w AS (PARTITION BY customer_id ORDER BY timestamp, transaction_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+zs AS (SELECT *, CASE WHEN customer_id IS NOT NULL THEN gap_all END AS gap_seconds,
+    CASE WHEN customer_id IS NOT NULL AND n >= 2 AND amount IS NOT NULL
+      THEN (amount - mean_prev) / CASE WHEN std_prev = 0 THEN 1 ELSE std_prev END END AS amount_zscore FROM prev),
+rules AS (SELECT *, coalesce(abs(amount_zscore) > 3, FALSE) AS rule_amount,
+    coalesce(is_high_risk_vendor AND is_outside_home_country, FALSE) AS rule_risky_abroad,
+    coalesce(hour(timestamp) BETWEEN 0 AND 5, FALSE) AS rule_night, coalesce(gap_seconds < 600, FALSE) AS rule_frequent FROM zs),
+sc AS (SELECT *, CAST(rule_amount AS INTEGER) + CAST(rule_risky_abroad AS INTEGER) + CAST(rule_night AS INTEGER)
+    + CAST(rule_frequent AS INTEGER) AS suspicious_score FROM rules)
+SELECT transaction_id, customer_id, timestamp, gap_seconds, amount_zscore, rule_amount, rule_risky_abroad, rule_night,
+    rule_frequent, suspicious_score, suspicious_score >= 2 AS is_suspicious, FALSE AS late FROM sc
+"""
+CAUSAL_FORM = ("transaction_id customer_id @timestamp ~gap_seconds ~amount_zscore rule_amount rule_risky_abroad rule_night "
+               "rule_frequent #suspicious_score is_suspicious late")
 SCORE_COLUMNS = ["transaction_id", "customer_id", "timestamp", "amount", "is_high_risk_vendor",
                  "is_outside_home_country", "is_fraud"]
 
@@ -267,6 +285,10 @@ def entries() -> dict[str, Query]:
         form(with_txn(SCORES + "SELECT * FROM scored"),
              "transaction_id ~gap_seconds ~amount_zscore rule_amount rule_risky_abroad rule_night rule_frequent "
              "#suspicious_score is_suspicious"))
+    q["causal_suspicion_scores"] = Query(
+        on(txn(*scoring.COLUMNS), scoring.causal_scores), form(with_txn(CAUSAL), CAUSAL_FORM))
+    q["suspicion_stream"] = Query(
+        lambda spark, sf: scoring.drain(spark, fixtures.transactions(spark, sf, scoring.COLUMNS)), form(with_txn(CAUSAL), CAUSAL_FORM))
     q["suspicion_summary"] = Query(
         on(_scored, hy.suspicion_summary),
         form(with_txn(SCORES + """, c AS (SELECT count(*) AS transactions, count(*) FILTER (WHERE is_suspicious) AS suspicious,
