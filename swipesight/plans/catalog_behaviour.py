@@ -133,6 +133,32 @@ def _component_sql(body: str) -> str:
     return recursive.replace("WITH", "WITH RECURSIVE", 1)
 
 
+def _pagerank_sql(rounds: int) -> str:
+    """Weighted PageRank over `rounds` rounds, from the memberships of shared keys, as a recursive query."""
+    body = f""", cf AS (SELECT DISTINCT customer_id FROM txn WHERE customer_id IS NOT NULL),
+      inc AS (SELECT DISTINCT customer_id, 'device' AS kind, device_fingerprint AS key FROM txn
+          WHERE customer_id IS NOT NULL AND device_fingerprint IS NOT NULL
+        UNION SELECT DISTINCT customer_id, 'ip', ip_address FROM txn WHERE customer_id IS NOT NULL AND ip_address IS NOT NULL),
+      sized AS (SELECT *, count(*) OVER (PARTITION BY kind, key) AS users FROM inc),
+      mem AS (SELECT customer_id, kind, key, users FROM sized WHERE users > 1),
+      node AS (SELECT cf.customer_id, coalesce(sum(users - 1), 0)::DOUBLE AS w, count(mem.key) AS keys
+        FROM cf LEFT JOIN mem USING (customer_id) GROUP BY 1),
+      total AS (SELECT count(*)::DOUBLE AS n FROM node),
+      pr(it, customer_id, w, keys, r) AS (
+        SELECT 0, customer_id, w, keys, 1 / (SELECT n FROM total) FROM node
+        UNION ALL
+        SELECT it + 1, customer_id, w, keys, 0.15 / (SELECT n FROM total)
+            + 0.85 * (inflow + dangling / (SELECT n FROM total)) FROM (
+          SELECT it, customer_id, w, keys, dangling, coalesce(sum(CASE WHEN key IS NOT NULL THEN s_k - x END), 0) AS inflow FROM (
+            SELECT p.*, m.kind, m.key, CASE WHEN p.w > 0 THEN p.r / p.w END AS x,
+              sum(CASE WHEN p.w > 0 THEN p.r / p.w END) OVER (PARTITION BY m.kind, m.key) AS s_k
+            FROM (SELECT *, sum(CASE WHEN w = 0 THEN r ELSE 0 END) OVER () AS dangling FROM pr WHERE it < {rounds}) p
+            LEFT JOIN mem m USING (customer_id)) q
+          GROUP BY it, customer_id, w, keys, dangling))
+      SELECT customer_id, r AS pagerank, r * (SELECT n FROM total) AS pagerank_scaled FROM pr WHERE it = {rounds}"""
+    return with_txn(body).replace("WITH", "WITH RECURSIVE", 1)
+
+
 GRAPH_INPUT = ["customer_id", "device_fingerprint", "ip_address", "is_fraud"]
 
 
@@ -381,6 +407,9 @@ def entries() -> dict[str, Query]:
         form(with_txn(GRAPH + """SELECT regr_slope(fraud_rate, degree_centrality) AS slope,
           regr_intercept(fraud_rate, degree_centrality) AS intercept FROM dg JOIN cf USING (customer_id)"""),
              "~slope ~intercept"))
+    q["pagerank"] = Query(
+        lambda s, sf: (lambda t, m, c: gr.pagerank(m, c))(*_members(s, sf)).drop("rounds"),
+        form(_pagerank_sql(200), "customer_id ~pagerank ~pagerank_scaled", digits=7), digits=7)
     q["betweenness"] = Query(on(_graph, gr.betweenness))
     q["betweenness_fraud_correlation"] = Query(_betweenness_corr)
     q["gap_quantiles"] = Query(

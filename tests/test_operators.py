@@ -305,3 +305,43 @@ def test_histogram_of_equal_values(spark):
     df = spark.createDataFrame([(2.0,)] * 3 + [(None,)], "v double")
     got = {r["bin"]: r["n"] for r in pf.histogram(df, "v", 4).collect()}
     assert got == {1: 3, 2: 0, 3: 0, 4: 0}
+
+
+def _dense_pagerank(rows, damping=0.85):
+    keys = defaultdict(set)
+    customers = sorted({c for c, _, _ in rows if c is not None})
+    for c, device, ip in rows:
+        if c is not None:
+            if device is not None:
+                keys[("device", device)].add(c)
+            if ip is not None:
+                keys[("ip", ip)].add(c)
+    index = {c: i for i, c in enumerate(customers)}
+    n = len(customers)
+    w = np.zeros((n, n))
+    for members in keys.values():
+        for a in members:
+            for b in members:
+                if a != b:
+                    w[index[a], index[b]] += 1
+    out = w.sum(1)
+    r = np.full(n, 1 / n)
+    for _ in range(2000):
+        flow = (r[out > 0] / out[out > 0]) @ w[out > 0]
+        r = (1 - damping) / n + damping * (flow + r[out == 0].sum() / n)
+    return dict(zip(customers, r))
+
+
+def test_pagerank_equals_dense_power_iteration(spark):
+    rng = random.Random(5)
+    rows = [(f"c{i}", f"d{rng.randrange(12)}", f"i{rng.randrange(30)}") for i in range(60)]
+    rows += [(f"h{i}", "hub-device", None) for i in range(25)] + [("lone", None, None), (None, "d1", "i1")]
+    t = spark.createDataFrame(rows, "customer_id string, device_fingerprint string, ip_address string")
+    members = gr.shared_keys(gr.incidence(t))
+    got = {r.customer_id: r.pagerank for r in gr.pagerank(members, t.select("customer_id").where("customer_id IS NOT NULL")).collect()}
+    want = _dense_pagerank(rows)
+    assert got.keys() == want.keys()
+    assert max(abs(got[c] - want[c]) for c in want) < 1e-10
+    assert abs(sum(got.values()) - 1) < 1e-9
+    empty = t.limit(0)
+    assert gr.pagerank(gr.shared_keys(gr.incidence(empty)), empty.select("customer_id")).count() == 0
