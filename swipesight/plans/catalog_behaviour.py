@@ -5,6 +5,7 @@ from __future__ import annotations
 from swipesight.functions.ranks import quantiles
 from swipesight.functions.stats import mann_whitney
 from swipesight.operators import features as fe
+from swipesight.operators.drift import drift
 from swipesight.operators import graph as gr
 from swipesight.operators import profiling
 from swipesight.operators import temporal as tm
@@ -133,6 +134,44 @@ def _component_sql(body: str) -> str:
     return recursive.replace("WITH", "WITH RECURSIVE", 1)
 
 
+DRIFT = """, rw AS (SELECT date_trunc('day', timestamp) AS period_start, amount::DOUBLE AS amount,
+    coalesce(is_fraud::INTEGER, 0) AS fraud, is_fraud IS NOT NULL AS labelled FROM txn WHERE timestamp IS NOT NULL),
+  span AS (SELECT min(period_start) AS first, max(period_start) AS last FROM rw),
+  dated AS (SELECT rw.*, rw.period_start < span.first + INTERVAL 7 DAY AS base FROM rw, span),
+  edges AS (SELECT quantile_cont(amount, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges FROM dated
+    WHERE base AND amount IS NOT NULL),
+  binned AS (SELECT d.*, CASE WHEN amount IS NULL OR edges IS NULL THEN NULL
+    ELSE len(list_filter(edges, lambda e: amount > e)) END AS bin FROM dated d, edges),
+  days AS (SELECT unnest(generate_series(first, last, INTERVAL 1 DAY)) AS period_start FROM span),
+  spine AS (SELECT period_start, unnest(generate_series(0, 9)) AS bin FROM days),
+  counts AS (SELECT period_start, bin, count(*) AS c FROM binned WHERE bin IS NOT NULL GROUP BY ALL),
+  base_counts AS (SELECT bin, count(*) AS b FROM binned WHERE base AND bin IS NOT NULL GROUP BY ALL),
+  cells AS (SELECT s.period_start, s.bin, coalesce(c, 0) AS c, coalesce(b, 0) AS b
+    FROM spine s LEFT JOIN counts USING (period_start, bin) LEFT JOIN base_counts USING (bin)),
+  tot AS (SELECT period_start, c, b, sum(c) OVER (PARTITION BY period_start) AS n, sum(b) OVER (PARTITION BY period_start) AS nb
+    FROM cells),
+  sh AS (SELECT period_start, n, (c + 0.5) / (n + 5.0) AS a, (b + 0.5) / (nb + 5.0) AS e FROM tot),
+  ps AS (SELECT period_start, CASE WHEN max(n) > 0 THEN sum((a - e) * ln(a / e)) END AS psi FROM sh GROUP BY 1),
+  per_day AS (SELECT period_start, count(*) AS transactions, sum(fraud) AS fraud, sum(labelled::INTEGER) AS labelled FROM rw GROUP BY 1),
+  br AS (SELECT avg(fraud) AS rate FROM dated WHERE base AND labelled),
+  series AS (SELECT d.period_start, coalesce(transactions, 0) AS transactions, coalesce(fraud, 0) AS fraud,
+    CASE WHEN labelled > 0 THEN fraud::DOUBLE / labelled END AS fraud_rate, psi,
+    CASE WHEN psi IS NULL THEN NULL WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'moderate' ELSE 'major' END AS psi_level,
+    CASE WHEN coalesce(labelled, 0) > 0 AND br.rate > 0 AND br.rate < 1
+      THEN (fraud / labelled - br.rate) / sqrt(br.rate * (1 - br.rate) / labelled) ELSE 0 END AS z,
+    row_number() OVER (ORDER BY d.period_start) AS i
+    FROM days d LEFT JOIN per_day USING (period_start) LEFT JOIN ps USING (period_start), br),
+  cs(i, up, down, alarm) AS (
+    SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, false
+    UNION ALL
+    SELECT i, up, down, up > 5 OR down > 5 FROM (
+      SELECT s.i, greatest(0, CASE WHEN cs.alarm THEN 0 ELSE cs.up END + s.z - 0.5) AS up,
+        greatest(0, CASE WHEN cs.alarm THEN 0 ELSE cs.down END - s.z - 0.5) AS down
+      FROM cs JOIN series s ON s.i = cs.i + 1))
+SELECT period_start, transactions, fraud, fraud_rate, psi, psi_level, up AS cusum_up, down AS cusum_down, alarm AS change_point
+FROM series JOIN cs USING (i)"""
+
+
 def _pagerank_sql(rounds: int) -> str:
     """Weighted PageRank over `rounds` rounds, from the memberships of shared keys, as a recursive query."""
     body = f""", cf AS (SELECT DISTINCT customer_id FROM txn WHERE customer_id IS NOT NULL),
@@ -288,6 +327,10 @@ def entries() -> dict[str, Query]:
         form(with_txn("""SELECT time_bucket(INTERVAL 15 MINUTE, timestamp) AS interval_start, count(*) AS transactions,
           count(*) FILTER (WHERE is_fraud) AS fraud, avg(CAST(is_fraud AS INTEGER)) AS fraud_rate FROM txn GROUP BY 1"""),
              "@interval_start #transactions #fraud ~fraud_rate"))
+    q["drift_monitor"] = Query(
+        on(txn("timestamp", "amount", "is_fraud"), drift),
+        form(with_txn(DRIFT).replace("WITH", "WITH RECURSIVE", 1),
+             "@period_start #transactions #fraud ~fraud_rate ~psi psi_level ~cusum_up ~cusum_down change_point"))
     q["interval_stream_counts"] = Query(
         lambda spark, sf: drain_intervals(spark, fixtures.transactions(spark, sf, ["transaction_id", "timestamp", "is_fraud"])),
         form(with_txn("""SELECT time_bucket(INTERVAL 15 MINUTE, timestamp) AS interval_start, count(*) AS transactions,

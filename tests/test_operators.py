@@ -345,3 +345,25 @@ def test_pagerank_equals_dense_power_iteration(spark):
     assert abs(sum(got.values()) - 1) < 1e-9
     empty = t.limit(0)
     assert gr.pagerank(gr.shared_keys(gr.incidence(empty)), empty.select("customer_id")).count() == 0
+
+
+def test_drift_monitor_finds_planted_change_and_keeps_empty_days(spark):
+    from swipesight.operators.drift import drift
+
+    rng = random.Random(9)
+    rows = []
+    for day in range(20):
+        if day == 12:
+            continue  # a day without transactions
+        for k in range(200):
+            late = day >= 14
+            amount = 10.0 if day < 7 and k % 2 else (rng.uniform(50, 100) * (3 if late else 1))
+            rows.append((datetime(2024, 3, 1) + timedelta(days=day, minutes=k), amount, rng.random() < (0.5 if late else 0.1)))
+    rows += [(None, 5.0, True), (datetime(2024, 3, 2), None, None)]
+    tx = spark.createDataFrame(rows, "timestamp timestamp, amount double, is_fraud boolean")
+    got = {r.period_start.day - 1: r for r in drift(tx).collect()}
+    assert sorted(got) == list(range(20))
+    assert got[12].transactions == 0 and got[12].psi is None and got[12].fraud_rate is None and not got[12].change_point
+    assert got[1].transactions == 201 and got[3].psi_level == "stable"
+    assert got[15].psi_level == "major"
+    assert any(got[d].change_point for d in range(14, 17)) and not any(got[d].change_point for d in range(0, 12))
