@@ -7,9 +7,9 @@ input to the field is its own features with those of the line before and after (
 
 The field has two labels per line (0 bad, 1 good): a weight vector for label 1 (label 0 scores 0), a 2 x 2 transition
 matrix and start weights. Training is by maximum likelihood with an L2 penalty. The training rows are the labelled
-documents chosen by `train` (a SQL condition); their lines all take the document's label. At most `SAMPLE` documents are
-used: beyond it, a fixed share chosen by a hash of doc_id (a documented bound on the fitted sample only; every document
-is scored). Every step of the optimiser (Adam, `STEPS` steps) is one Spark job: partitions of the settled feature table
+documents chosen by `train` (a SQL condition); their lines all take the document's label. About `SAMPLE` documents are
+fitted at most: beyond it, a share chosen by a hash of doc_id (a documented bound on the fitted sample only; every
+document is scored). The fitted table is dealt into a task per `PER_TASK` documents. Every step of the optimiser (Adam, `STEPS` steps) is one Spark job: partitions of the settled feature table
 return the sums of loss and gradient from forward-backward, and the driver holds only the weights (`2 * FEATURES + 6`
 numbers).
 
@@ -30,30 +30,47 @@ from pyspark.sql import functions as F
 
 from swipesight.session import settle
 
-SAMPLE = 200_000  # labelled documents fitted at most
-STEPS = 60
+SAMPLE = 5_000  # labelled documents fitted at most
+PER_TASK = 1_000  # fitted documents a task of an optimiser step
+STEPS = 40
 RATE = 0.1
 PENALTY = 1e-3  # L2 weight per training line
 THRESHOLD = 0.7
 
-# Own features of a line `l`, first the constant 1.
+# Counts of a line `l`, taken once; the features are made from them.
+_COUNTS = {
+    "chars": "length(l)",
+    "words": "regexp_count(l, '\\\\S+')",
+    "letters": "regexp_count(l, '\\\\p{L}')",
+    "upper": "regexp_count(l, '\\\\p{Lu}')",
+    "digits": "regexp_count(l, '\\\\p{N}')",
+    "symbols": "regexp_count(l, '[^\\\\p{L}\\\\p{N}\\\\s.,;:!?()\\'\"-]')",
+    "runs": "regexp_count(l, '[^\\\\p{L}\\\\p{N}\\\\s]{2,}')",
+    "caps": "regexp_count(l, '\\\\b\\\\p{Lu}{2,}\\\\b')",
+    "ends": "IF(l RLIKE '[.!?][\"\\')]*\\\\s*$', 1, 0)",
+    "starts": "IF(l RLIKE '^\\\\s*\\\\p{Lu}', 1, 0)",
+    "long": "regexp_count(l, '\\\\S{16,}')",
+    "link": "IF(l RLIKE '(https?://|www\\\\.|@)', 1, 0)",
+    "bangs": "regexp_count(l, '[!?]{2,}')",
+}
+# Own features of a line from its counts `c`, first the constant 1.
 _OWN = [
     "1D",
-    "ln(1 + length(l)) / 8",
-    "ln(1 + regexp_count(l, '\\\\S+')) / 6",
-    "regexp_count(l, '\\\\p{L}') / greatest(length(l), 1)",
-    "regexp_count(l, '\\\\p{Lu}') / greatest(regexp_count(l, '\\\\p{L}'), 1)",
-    "regexp_count(l, '\\\\p{N}') / greatest(length(l), 1)",
-    "regexp_count(l, '[^\\\\p{L}\\\\p{N}\\\\s.,;:!?()\\'\"-]') / greatest(length(l), 1)",
-    "regexp_count(l, '[^\\\\p{L}\\\\p{N}\\\\s]{2,}') / greatest(regexp_count(l, '\\\\S+'), 1)",
-    "regexp_count(l, '\\\\b\\\\p{Lu}{2,}\\\\b') / greatest(regexp_count(l, '\\\\S+'), 1)",
-    "IF(l RLIKE '[.!?][\"\\')]*\\\\s*$', 1D, 0D)",
-    "IF(l RLIKE '^\\\\s*\\\\p{Lu}', 1D, 0D)",
-    "length(l) / greatest(regexp_count(l, '\\\\S+'), 1) / 10",
-    "regexp_count(l, '\\\\S{16,}') / greatest(regexp_count(l, '\\\\S+'), 1)",
-    "IF(l RLIKE '(https?://|www\\\\.|@)', 1D, 0D)",
-    "regexp_count(l, '[!?]{2,}') / greatest(regexp_count(l, '\\\\S+'), 1)",
-    "IF(length(l) = 0, 1D, 0D)",
+    "ln(1 + c.chars) / 8",
+    "ln(1 + c.words) / 6",
+    "c.letters / greatest(c.chars, 1)",
+    "c.upper / greatest(c.letters, 1)",
+    "c.digits / greatest(c.chars, 1)",
+    "c.symbols / greatest(c.chars, 1)",
+    "c.runs / greatest(c.words, 1)",
+    "c.caps / greatest(c.words, 1)",
+    "CAST(c.ends AS DOUBLE)",
+    "CAST(c.starts AS DOUBLE)",
+    "c.chars / greatest(c.words, 1) / 10",
+    "c.long / greatest(c.words, 1)",
+    "CAST(c.link AS DOUBLE)",
+    "c.bangs / greatest(c.words, 1)",
+    "IF(c.chars = 0, 1D, 0D)",
 ]
 OWN = len(_OWN)
 FEATURES = OWN + 2 * (OWN - 1) + 2
@@ -61,7 +78,9 @@ FEATURES = OWN + 2 * (OWN - 1) + 2
 
 def line_features(text: str = "text") -> str:
     """SQL: per line, an array of the own features; a null text is one empty line."""
-    return f"transform(split(coalesce({text}, ''), '\\n'), l -> array({', '.join(f'CAST({f} AS DOUBLE)' for f in _OWN)}))"
+    counts = ", ".join(f"'{name}', {sql}" for name, sql in _COUNTS.items())
+    lines = f"transform(split(coalesce({text}, ''), '\\n'), l -> named_struct({counts}))"
+    return f"transform({lines}, c -> array({', '.join(f'CAST({f} AS DOUBLE)' for f in _OWN)}))"
 
 
 def _inputs(own: np.ndarray) -> np.ndarray:
@@ -120,7 +139,8 @@ def _train_table(docs: DataFrame, labels: DataFrame, train: str, sample: int) ->
     n = labelled.count()
     if n > sample:
         labelled = labelled.where(f"pmod(xxhash64(doc_id, 'fit'), 1000000) < {int(1e6 * sample / n)}")
-    return settle(labelled.selectExpr("label", f"{line_features()} AS own"))
+    parts = max(1, -(-min(n, sample) // PER_TASK))
+    return settle(labelled.selectExpr("label", f"{line_features()} AS own").repartition(parts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: str, sample: int = SAMPLE, steps: int = STEPS) -> np.ndarray:
