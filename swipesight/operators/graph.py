@@ -412,3 +412,90 @@ def pagerank(
             if change < tolerance * check_every:
                 break
     return ranks.selectExpr("customer_id", "r AS pagerank", f"r * {n}D AS pagerank_scaled", f"{rounds} AS rounds")
+
+
+# --- Louvain -------------------------------------------------------------------------------------
+
+
+def louvain(members: DataFrame, customers: DataFrame, idle_rounds: int = 3, most_rounds: int = 60) -> DataFrame:
+    """Communities by Louvain: (customer_id, community, level), the community named by its smallest customer id.
+
+    The graph is that of `modularity`: customers sharing k keys are linked with weight k. It is never written as pairs.
+    A node X of a level is a set of customers, held as memberships (X, key, n) with n its customers among the key's
+    users; then `w(X, Y) = sum over keys of n_X n_Y` and a node's degree is the sum of its customers' degrees.
+
+    Local moves: every key proposes its commonest community (the smallest of equals). For a node X and a proposed
+    community C the links into C are `sum over keys of X of n_X (N_C - [C = c(X)] n_X)`, with N_C the key's users in C;
+    the modularity gain of the move is computed exactly and the best positive one is taken. Conflict rule for moving in
+    parallel: nodes move only towards smaller community names in even rounds and larger in odd ones, so that two nodes
+    never swap; after a round that was undone, only the nodes whose hash falls in the round's half move. A round whose
+    modularity is not higher is undone.
+    After `idle_rounds` rounds without a gain the level ends; its communities are contracted into the nodes of the next
+    level (memberships summed per key), until a level merges nothing. Each round is checkpointed. Modularity never falls
+    between rounds, and results do not depend on the partitioning (all choices are by value and hash).
+    """
+    links = settle(members.selectExpr("customer_id", "concat(kind, ':', key) AS key", "users"))
+    degree = links.groupBy("customer_id").agg(F.sum(F.expr("CAST(users - 1 AS DOUBLE)")).alias("k"))
+    people = customers.select("customer_id").distinct()
+    two_m = links.agg(F.sum(F.expr("CAST(users - 1 AS DOUBLE)"))).first()[0] or 0.0
+    assign = settle(people.selectExpr("customer_id", "customer_id AS node"))
+    if two_m == 0:
+        return assign.selectExpr("customer_id", "node AS community", "0 AS level")
+    m = two_m / 2
+    held = settle(links.selectExpr("customer_id AS node", "key", "1L AS n"))
+    nodes = settle(people.join(degree, "customer_id", "left").selectExpr("customer_id AS node", "coalesce(k, 0D) AS k", "customer_id AS c"))
+    quality = _modularity_of(links, assign, nodes)
+    level, rounds = 0, 0
+    while True:
+        idle, moved_any = 0, False
+        while idle < idle_rounds and rounds < most_rounds:
+            rounds += 1
+            tried = settle(_move(held, nodes, m, two_m, rounds, half=idle > 0))
+            found = _modularity_of(links, assign, tried)
+            if found > quality + 1e-12:
+                nodes, quality, idle, moved_any = tried, found, 0, True
+            else:
+                idle += 1
+        if not moved_any or rounds >= most_rounds:
+            break
+        level += 1
+        assign = settle(assign.join(nodes.select("node", "c"), "node").selectExpr("customer_id", "c AS node"))
+        held = settle(held.join(nodes.select("node", "c"), "node").groupBy("c", "key").agg(F.sum("n").alias("n")).withColumnRenamed("c", "node"))
+        nodes = settle(nodes.groupBy("c").agg(F.sum("k").alias("k")).selectExpr("c AS node", "k", "c"))
+    named = assign.join(nodes.select("node", "c"), "node").selectExpr("customer_id", "c AS community")
+    smallest = named.groupBy("community").agg(F.min("customer_id").alias("_name"))
+    return named.join(smallest, "community").selectExpr("customer_id", "_name AS community", f"{level} AS level")
+
+
+def _move(held: DataFrame, nodes: DataFrame, m: float, two_m: float, round_: int, half: bool) -> DataFrame:
+    """One round of parallel local moves under the conflict rule: (node, k, c)."""
+    placed = held.join(nodes.select("node", "c"), "node")
+    per_key = placed.groupBy("key", "c").agg(F.sum("n").alias("big_n"))
+    proposal = per_key.groupBy("key").agg(F.expr("min_by(c, struct(-big_n, c))").alias("cand"))
+    totals = nodes.groupBy("c").agg(F.sum("k").alias("tot"))
+    direction = "cand < c" if round_ % 2 == 0 else "cand > c"
+    mover = f"pmod(xxhash64(node, {round_}), 2) = 0" if half else "true"
+    cands = placed.join(proposal, "key").where(f"{mover} AND {direction}").select("node", "cand").distinct()
+    # Links of each moving node into its own and into each proposed community, over its keys.
+    own = placed.join(per_key, ["key", "c"]).groupBy("node").agg(F.sum(F.expr("n * (big_n - n)")).alias("k_own"))
+    into = cands.join(held, "node").join(per_key.withColumnRenamed("c", "cand"), ["key", "cand"]).groupBy("node", "cand").agg(
+        F.sum(F.expr("n * big_n")).alias("k_in")
+    )
+    scored = (
+        into.join(nodes, "node").join(own, "node", "left")
+        .join(totals.withColumnRenamed("c", "cand").withColumnRenamed("tot", "tot_cand"), "cand")
+        .join(totals.withColumnRenamed("tot", "tot_own"), "c")
+        .selectExpr(
+            "node", "cand",
+            f"(k_in - coalesce(k_own, 0D)) / {m!r}D - k * (tot_cand - tot_own + k) / {two_m * two_m / 2!r}D AS gain",
+        )
+        .where("gain > 1e-12")
+    )
+    best = scored.groupBy("node").agg(F.expr("min_by(cand, struct(-gain, cand))").alias("_to"))
+    return nodes.join(best, "node", "left").selectExpr("node", "k", "coalesce(_to, c) AS c")
+
+
+def _modularity_of(links: DataFrame, assign: DataFrame, nodes: DataFrame) -> float:
+    labels = assign.join(nodes.select("node", "c"), "node").selectExpr("customer_id", "c AS community")
+    members = links.selectExpr("customer_id", "'k' AS kind", "key", "users")
+    return modularity(members, labels).first().modularity or 0.0

@@ -453,6 +453,7 @@ def entries() -> dict[str, Query]:
     q["pagerank"] = Query(
         lambda s, sf: (lambda t, m, c: gr.pagerank(m, c))(*_members(s, sf)).drop("rounds"),
         form(_pagerank_sql(200), "customer_id ~pagerank ~pagerank_scaled", digits=7), digits=7)
+    q["louvain_communities"] = Query(lambda s, sf: (lambda t, m, c: gr.louvain(m, c))(*_members(s, sf)))
     q["betweenness"] = Query(on(_graph, gr.betweenness))
     q["betweenness_fraud_correlation"] = Query(_betweenness_corr)
     q["gap_quantiles"] = Query(

@@ -367,3 +367,47 @@ def test_drift_monitor_finds_planted_change_and_keeps_empty_days(spark):
     assert got[1].transactions == 201 and got[3].psi_level == "stable"
     assert got[15].psi_level == "major"
     assert any(got[d].change_point for d in range(14, 17)) and not any(got[d].change_point for d in range(0, 12))
+
+
+def _partitions(items):
+    if not items:
+        yield []
+        return
+    first, rest = items[0], items[1:]
+    for part in _partitions(rest):
+        for i in range(len(part)):
+            yield part[:i] + [[first] + part[i]] + part[i + 1:]
+        yield [[first]] + part
+
+
+def _modularity(w, groups):
+    two_m = w.sum()
+    k = w.sum(1)
+    return sum(w[np.ix_(g, g)].sum() / two_m - (k[g].sum() / two_m) ** 2 for g in groups)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_louvain_near_brute_force_optimum(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for key in range(9):
+        for c in rng.sample(range(10), rng.choice([2, 2, 3, 4])):
+            rows.append((f"c{c}", f"d{key}", None))
+    rows += [(f"c{c}", None, None) for c in range(10)]
+    t = spark.createDataFrame(rows, "customer_id string, device_fingerprint string, ip_address string")
+    members = gr.shared_keys(gr.incidence(t))
+    customers = t.select("customer_id").distinct()
+    first = gr.louvain(members, customers)
+    got = gr.modularity(members, first).first().modularity
+    w = np.zeros((10, 10))
+    for key in range(9):
+        users = sorted({int(c[1:]) for c, d, _ in rows if d == f"d{key}"})
+        for a in users:
+            for b in users:
+                if a != b:
+                    w[a, b] += 1
+    best = max(_modularity(w, g) for g in _partitions(list(range(10))))
+    assert got >= 0.95 * best - 1e-9
+    assert got >= gr.modularity(members, gr.communities(members, customers)).first().modularity - 1e-9
+    again = gr.louvain(members, customers)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
