@@ -287,3 +287,15 @@ def test_pipeline(spark):
     assert 0 < kept.count() < before.count() and {"doc_id", "taken"} <= set(kept.columns)
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     assert decontaminate.matches(kept, benchmark).where("contaminated").count() == 0
+
+
+def test_line_dedup_keeps_own_lines_of_a_repeated_doc_id(spark):
+    shared = "\n".join(f"shared line {i} of a passage" for i in range(12))
+    own = "\n".join(f"own line {i} only here" for i in range(12))
+    rows = [(1, shared), (1, own), (2, shared), (3, "x\n" + own + "\ny"), (None, shared), (4, None), (4, "")]
+    got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.remove_repeated(table(spark, rows)).collect()]
+    assert (1, own, 0) in got
+    assert any(d == 2 and removed > 0 for d, _, removed in got)
+    assert (None, shared, 0) in got and (4, None, 0) in got and (4, "", 0) in got
+    clash = table(spark, [(1, shared, 7), (2, shared, 8)], "doc_id long, text string, __ld_text int")
+    assert sorted(r["__ld_text"] for r in line_dedup.remove_repeated(clash).collect()) == [7, 8]
