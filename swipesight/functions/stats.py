@@ -74,11 +74,48 @@ def _away(value: float, tiny: float) -> float:
     return tiny if abs(value) < tiny else value
 
 
-def mann_whitney(df: DataFrame, value: str, member: str) -> DataFrame:
+def u_distribution(n1: int, n2: int) -> list[int]:
+    """Number of orderings of n1 + n2 untied values with U = 0, 1, ..., n1 * n2 (counting recursion).
+
+    f(m, n) of u is f(m - 1, n) of u - n plus f(m, n - 1) of u: the largest value is a member or not.
+    """
+    table = {(0, n): [1] for n in range(n2 + 1)} | {(m, 0): [1] for m in range(n1 + 1)}
+    for m in range(1, n1 + 1):
+        for n in range(1, n2 + 1):
+            counts = [0] * (m * n + 1)
+            for u, c in enumerate(table[(m - 1, n)]):
+                counts[u + n] += c
+            for u, c in enumerate(table[(m, n - 1)]):
+                counts[u] += c
+            table[(m, n)] = counts
+    return table[(n1, n2)]
+
+
+def exact_p(n1: int, n2: int, u: float) -> float:
+    """Two-sided exact p-value of U for untied groups: twice the smaller tail, at most 1."""
+    counts = u_distribution(n1, n2)
+    low = min(u, n1 * n2 - u)
+    tail = sum(counts[: int(low) + 1]) / sum(counts)
+    return min(1.0, 2 * tail)
+
+
+def mann_whitney(df: DataFrame, value: str, member: str, exact_below: int = 0) -> DataFrame:
     """U of the members against the others, with midranks, tie correction and continuity correction.
 
-    The p-value is the normal approximation, two-sided.
+    The p-value is the normal approximation, two-sided. With `exact_below`, groups without ties whose sizes are both at
+    most that get the exact p-value of the counting recursion instead (`exact` tells which); the one result row is then
+    computed, the distribution having at most `exact_below`^2 + 1 entries.
     """
+    approx = _mann_whitney(df, value, member)
+    if not exact_below:
+        return approx.drop("ties")
+    row = approx.first()
+    small = row.ties == 0 and 0 < row.n1 <= exact_below and 0 < row.n2 <= exact_below
+    p = exact_p(row.n1, row.n2, row.u) if small else row.p_value
+    return approx.drop("ties").withColumn("p_value", F.lit(p).cast("double")).withColumn("exact", F.lit(bool(small)))
+
+
+def _mann_whitney(df: DataFrame, value: str, member: str) -> DataFrame:
     counts = value_counts(
         df.where(f"{member} IS NOT NULL"), value, n1=f"CASE WHEN {member} THEN 1 ELSE 0 END"
     )
@@ -90,12 +127,12 @@ def mann_whitney(df: DataFrame, value: str, member: str) -> DataFrame:
         F.expr("sum(rank_sum)").alias("r1"), F.expr("sum(d * d * d - d)").alias("ties"),
     )
     u = sums.selectExpr(
-        "n1", "n2", "r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 AS u", "CAST(n1 AS DOUBLE) * n2 / 2 AS mean",
+        "n1", "n2", "ties", "r1 - CAST(n1 AS DOUBLE) * (n1 + 1) / 2 AS u", "CAST(n1 AS DOUBLE) * n2 / 2 AS mean",
         "sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - "
         "coalesce(try_divide(ties, CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1)), 0D))) AS sd",
     )
     scored = u.selectExpr(
-        "n1", "n2", "u", "greatest(0D, try_divide(greatest(u, CAST(n1 AS DOUBLE) * n2 - u) - mean - 0.5D, sd)) AS z"
+        "n1", "n2", "u", "ties", "greatest(0D, try_divide(greatest(u, CAST(n1 AS DOUBLE) * n2 - u) - mean - 0.5D, sd)) AS z"
     )
     return scored.withColumn("p_value", normal_p("z"))
 

@@ -149,3 +149,28 @@ def test_undersampling_does_not_depend_on_partitioning(spark):
     rows = spark.range(2000).selectExpr("id", "CAST(id % 10 = 0 AS INT) AS label")
     found = [sorted(r.id for r in undersample(rows.repartition(n)).collect()) for n in (2, 7)]
     assert found[0] == found[1] and 350 < len(found[0]) < 450
+
+
+def test_exact_mann_whitney_equals_enumeration():
+    import itertools
+
+    from swipesight.functions.stats import exact_p, u_distribution
+
+    for n1 in range(1, 9):
+        for n2 in range(1, 9):
+            counts = [0] * (n1 * n2 + 1)
+            for members in itertools.combinations(range(n1 + n2), n1):
+                chosen = set(members)
+                counts[sum(1 for i in members for j in range(n1 + n2) if j not in chosen and j < i)] += 1
+            assert u_distribution(n1, n2) == counts
+    assert abs(exact_p(8, 8, 10) - 2 * sum(u_distribution(8, 8)[:11]) / 12870) < 1e-15
+
+
+def test_exact_mann_whitney_in_spark_and_close_to_normal(spark):
+    rows = [(float(v), v % 3 == 0) for v in range(30)]
+    df = spark.createDataFrame(rows, "v double, m boolean")
+    exact = mann_whitney(df, "v", "m", exact_below=30).first()
+    approx = mann_whitney(df, "v", "m").first()
+    assert exact.exact and abs(exact.p_value - approx.p_value) < 0.01
+    tied = spark.createDataFrame([(1.0, True), (1.0, False), (2.0, True)], "v double, m boolean")
+    assert not mann_whitney(tied, "v", "m", exact_below=30).first().exact
