@@ -15,8 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swipesight.functions.ranks import quantile_columns
-from swipesight.functions.semantics import booleans_to_int, drop_present, literal_rows
+from swipesight.functions.ranks import quantile_columns, running_totals
+from swipesight.functions.semantics import booleans_to_int, drop_present, literal_rows, with_row
 from swipesight.operators import features as fe
 from swipesight.operators import metrics as me
 from swipesight.operators.profiling import columns_by_kind, mostly_missing, unpack_last_hour
@@ -98,6 +98,39 @@ def split(
     return df.where(f"{slot} >= {limit}"), df.where(f"{slot} < {limit}")
 
 
+def _class_ranks(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """(label, key, _one_through, _one_all): the rank of each row within its class by the hash of its key.
+
+    Running totals dealt out by range over (class, hash, key): a large class is spread over many tasks, nothing is sorted
+    in one. Rows with a null label are left out; keys are taken as unique.
+    """
+    rows = df.where(f"`{label}` IS NOT NULL").selectExpr(
+        f"`{label}`", f"`{key}`", f"struct(xxhash64(`{key}`, {seed}), `{key}`) AS _h", "1 AS _one"
+    )
+    return running_totals(rows, "_h", ["_one"], by=[label])
+
+
+def stratified_split(
+    df: DataFrame, test_size: float = 0.2, seed: int = 42, key: str = ID, label: str = "label"
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test parts with exactly round(test_size x n) rows of each class in the test part (halves up).
+
+    The rows are those with the smallest hashes of their key within the class, so the same whatever the partitioning.
+    Rows with a null label stay in training.
+    """
+    ranked = _class_ranks(df, key, label, seed)
+    chosen = ranked.where(f"_one_through <= round({test_size!r}D * _one_all)").select(key)
+    return df.join(chosen, key, "left_anti"), df.join(chosen, key, "left_semi")
+
+
+def exact_undersample(df: DataFrame, label: str = "label", seed: int = 42, key: str = ID) -> DataFrame:
+    """Every class cut to the size of the smallest, by the smallest hashes of the key: sizes exactly equal."""
+    ranked = _class_ranks(df, key, label, seed)
+    smallest = ranked.groupBy(label).agg(F.max("_one_all").alias("n")).agg(F.min("n").alias("n"))
+    kept = with_row(ranked, smallest, "_s").where("_one_through <= _s.n").select(key)
+    return df.join(kept, key, "left_semi")
+
+
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weights: rows / (2 x rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))

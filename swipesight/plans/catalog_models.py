@@ -47,6 +47,13 @@ def _split_sizes(spark, sf):
         "part", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _stratified_sizes(spark, sf):
+    rows = fixtures.transactions(spark, sf, ["transaction_id", "is_fraud"]).selectExpr("transaction_id", "CAST(is_fraud AS INT) AS label")
+    train, test = mo.stratified_split(rows, 0.2, key="transaction_id")
+    parts = train.selectExpr("'train' AS part", "label").union(test.selectExpr("'test' AS part", "label"))
+    return parts.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _balanced(method):
     def run(spark, sf):
         rows = mo.balance(_ready(spark, sf), method)
@@ -124,6 +131,10 @@ def entries() -> dict[str, Query]:
           hour(timestamp) AS hour, isodow(timestamp) - 1 AS day_of_week, vendor_category, vendor_type, currency,
           country, city_size, card_type, channel FROM txn"""), simple))
     q["train_test_sizes"] = Query(_split_sizes)
+    q["stratified_split_sizes"] = Query(_stratified_sizes, form(with_txn("""
+      , c AS (SELECT CAST(is_fraud AS INTEGER) AS label, count(*) AS n FROM txn WHERE is_fraud IS NOT NULL GROUP BY 1)
+      SELECT 'test' AS part, label, CAST(round(0.2 * n) AS BIGINT) AS n FROM c
+      UNION ALL SELECT 'train', label, n - CAST(round(0.2 * n) AS BIGINT) FROM c"""), "part #label #n"))
     q["prepared_vectors"] = Query(_vectors)
     for method in ("undersample", "smote", "adasyn", "smoteenn"):
         q[f"balanced_{method}"] = Query(_balanced(method))

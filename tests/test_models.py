@@ -148,3 +148,19 @@ def test_interval_stream_matches_batch(spark, tmp_path):
     got = {r["interval_start"]: r["transactions"] for r in spark.table("intervals").collect()}
     want = {r["interval_start"]: r["transactions"] for r in interval_counts(df).collect()}
     assert got == want
+
+
+def test_stratified_split_is_exact_and_independent_of_partitioning(spark):
+    from swipesight.operators import models as mo
+
+    rows = [(i, 1 if i % 7 == 0 else (None if i % 31 == 0 else 0)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, label int")
+    train, test = mo.stratified_split(df, 0.2, key="id")
+    counts = {r.label: r.n for r in test.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    sizes = {lab: sum(1 for _, l in rows if l == lab) for lab in (0, 1)}
+    assert counts == {lab: int(n * 0.2 + 0.5) for lab, n in sizes.items()}
+    assert train.count() + test.count() == 1000 and train.where("label IS NULL").count() == sum(1 for _, l in rows if l is None)
+    _, other = mo.stratified_split(df.repartition(7), 0.2, key="id")
+    assert sorted(r.id for r in test.collect()) == sorted(r.id for r in other.collect())
+    kept = mo.exact_undersample(df, key="id")
+    assert {r.label: r.n for r in kept.groupBy("label").agg(F.count("*").alias("n")).collect()} == {0: sizes[1], 1: sizes[1]}
