@@ -87,7 +87,7 @@ def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
 
 def test_queries_match_their_sql(spark):
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SMALL}/{name}.parquet')")
     for name, sql in queries.oracle_sql().items():
         assert compare(queries.entries()[name](spark, SMALL), con, sql) is None, name
