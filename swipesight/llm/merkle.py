@@ -12,7 +12,8 @@ hex and lengths (code points) in decimal. Two roots are equal if and only if the
 only differing branches are opened. It is the share of code points in leaves of both, of the longer text's.
 `differences` names the differing branches.
 
-Null counts as the empty text. Rows that repeat a doc_id are ordered by their text. Extra columns are ignored. The next
+Null counts as the empty text. Rows with a null doc_id have no place in the order of documents and are left out of
+`with_next`'s result. Rows that repeat a doc_id are ordered by the hash of their text. Extra columns are ignored. The next
 document of the last one is the first; a single document is its own next. An empty table gives an empty result.
 """
 
