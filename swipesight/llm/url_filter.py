@@ -12,7 +12,7 @@ long ones a blocking one. Rules are an argument, so their number is the caller's
 
 A null url or one without `://` has an empty host and path, fits no rule, and is judged by the posterior of all pages.
 Repeated pages are judged alike; a page with several labels counts once for each. Empty tables give empty results; without
-labels nothing is blocked but by rule. Extra columns of pages are kept by `judge`.
+labels nothing is blocked but by rule. `judge` returns the named result columns only; extra columns of pages are not carried.
 """
 
 from __future__ import annotations
