@@ -164,3 +164,12 @@ def test_stratified_split_is_exact_and_independent_of_partitioning(spark):
     assert sorted(r.id for r in test.collect()) == sorted(r.id for r in other.collect())
     kept = mo.exact_undersample(df, key="id")
     assert {r.label: r.n for r in kept.groupBy("label").agg(F.count("*").alias("n")).collect()} == {0: sizes[1], 1: sizes[1]}
+
+
+def test_training_rows_are_dealt_into_few_parts(spark):
+    rows = spark.range(3000).selectExpr("CAST(id AS STRING) AS transaction_id", "CAST(id % 2 AS INT) AS label").repartition(100)
+    held, n = mo.training_rows(rows)
+    assert n == 3000 and held.rdd.getNumPartitions() == mo.TRAINING_TASKS
+    assert held.select("transaction_id").distinct().count() == 3000
+    small, n = mo.training_rows(rows.limit(50).coalesce(3))
+    assert n == 50 and small.rdd.getNumPartitions() <= 3
