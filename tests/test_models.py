@@ -38,6 +38,33 @@ def test_nearest_is_exact(spark, block_rows, pivots):
         assert [got[name][k] for k in range(1, 5)] == [rows[j][0] for j in np.argsort(far)[:4]]
 
 
+def test_leaves_leave_out_far_points_and_keep_ties():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 2, (4000, 12)), rng.normal(size=4000)]).astype(float)
+    x[:400] = x[0]  # copies can't be cut apart
+    tree = rs._Tree(x, 64)
+    leaf = tree.of(x)
+    boxes = [(x[leaf == i].min(axis=0), x[leaf == i].max(axis=0)) for i in range(tree.leaves)]
+    tree.bound(*(np.array(side) for side in zip(*boxes)))
+    limit = np.full(len(x), 0.3)
+    rows, found = tree.within(x, limit)
+    assert len(rows) < 0.2 * len(x) * tree.leaves  # a pivot's radius leaves out next to nothing here
+    reached = set(zip(rows.tolist(), found.tolist()))
+    for i in range(0, len(x), 97):
+        assert all((i, j) in reached for j in set(leaf[((x - x[i]) ** 2).sum(axis=1) <= 0.09].tolist()))
+
+
+def test_nearest_of_copies_takes_smaller_ids(spark):
+    rows = [(f"r{i:02d}", [float(i // 20), 0.0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "pid string, x array<double>")
+    got = {}
+    for r in rs.nearest(df.select(F.col("pid").alias("qid"), "x"), df, 3, 7, 4).collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = r["pid"]
+    for i in range(60):
+        alike = [f"r{j:02d}" for j in range(i // 20 * 20, i // 20 * 20 + 20) if j != i][:3]
+        assert [got[f"r{i:02d}"][k] for k in (1, 2, 3)] == alike
+
+
 def test_smote_lies_between_rare_neighbours(spark):
     rows, df = cloud(spark)
     made = [r for r in rs.smote(df).collect() if r["transaction_id"].startswith("new-")]
