@@ -12,8 +12,9 @@ cutting the largest unimportant branches is the same as leaving out the text of
 importance below `least` over at least `pages` pages is removed from each page.
 
 Elements that say what they are (nav, footer, aside, form, script, a class or role such as `menu`, `ad`, `comments`) are
-removed as well; text inside `article`, `main` or an equal role is never removed for its entropy, as copies of one page
-on a host would be. If the tree would leave a page nothing, the page keeps all its unmarked text.
+removed as well. All other text enters the tree, that inside `article`, `main` or an equal role too; there a block that the
+tree finds unimportant is counted in `n_spared` but stays, as copies of one page on a host would go otherwise. If the tree
+would leave a page nothing, the page keeps all its unmarked text.
 
 Statistics are sums per (host, node, piece), so a host with a third of all pages is no task of its own. Broken markup is
 read as browsers do where it matters: an unclosed `p` or `li` ends at the next one, unknown end tags are skipped, script
@@ -62,6 +63,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(
 _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
 _PIECE = re.compile(r"[^.!?|·•]+")
+_ROW = "xxhash64(page_id, url, CAST(html AS STRING))"
 
 
 def _key(*parts: object) -> int:
@@ -183,50 +185,68 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _texts(pages: DataFrame, loose: bool) -> DataFrame:
-    """(page_id, url, host, texts, nodes, styles) of the pages that have text outside declared content, or of the others.
+def trees(pages: DataFrame) -> DataFrame:
+    """(page_id, row, host, nodes, styles, owners, pieces): what each page brings to the tree of its host.
 
-    `nodes` is null for text in declared content; `styles` are pairs of node and child sequence, one after the other.
+    `nodes` are the places with text that is not marked, in declared content or not. `styles` are pairs of node and child
+    sequence, one after the other; `pieces` the hashes of the pieces of text and `owners` their nodes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = pa.list_(pa.int64())
         for batch in batches:
-            keep, out = [], []
+            out = []
             for url, page in zip(batch.column("url"), batch.column("html"), strict=True):
                 texts, styles = parse(page.as_py() or "")
-                kept = [(t, None if main else n) for t, n, marked, main in texts if not marked]
-                nodes = [n for _, n in kept]
-                shown = {n for n in nodes if n is not None}
-                keep.append(bool(shown) == loose)
-                if keep[-1]:
-                    pairs = [x for style in styles if style[0] in shown for x in style] if loose else []
-                    out.append((host_of(url.as_py()), [t for t, _ in kept], nodes if loose else [], pairs))
-            part = batch.filter(pa.array(keep, pa.bool_()))
-            hosts, texts, nodes, pairs = zip(*out, strict=True) if out else ((), (), (), ())
-            many = pa.list_(pa.int64())
+                kept = [(t, n) for t, n, marked, _ in texts if not marked]
+                nodes = {n for _, n in kept}
+                pieces = [(n, _key(piece.strip())) for t, n in kept for piece in _PIECE.findall(t)]
+                pairs = [x for style in styles if style[0] in nodes for x in style]
+                out.append((host_of(url.as_py()), list(nodes), pairs, [n for n, _ in pieces], [k for _, k in pieces]))
+            columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), pa.array(hosts, pa.string()), pa.array(texts, pa.list_(pa.string())),
-                 pa.array(nodes, many), pa.array(pairs, many)],
-                ["page_id", "url", "host", "texts", "nodes", "styles"],
+                [batch.column("page_id"), batch.column("row"), pa.array(columns[0], pa.string()), *(pa.array(c, many) for c in columns[1:])],
+                ["page_id", "row", "host", "nodes", "styles", "owners", "pieces"],
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.selectExpr("page_id", "url", "CAST(html AS STRING) AS html").mapInArrow(
-        run, f"page_id {kind}, url string, host string, texts array<string>, nodes array<bigint>, styles array<bigint>"
+    lists = ", ".join(f"{c} array<bigint>" for c in ("nodes", "styles", "owners", "pieces"))
+    return pages.selectExpr("page_id", "url", "CAST(html AS STRING) AS html", f"{_ROW} AS row").mapInArrow(
+        run, f"page_id {kind}, row bigint, host string, {lists}"
     )
 
 
-def statistics(loose: DataFrame) -> DataFrame:
+def _texts(pages: DataFrame) -> DataFrame:
+    """(page_id, url, row, texts, nodes, main): text that is not marked, its node, and whether it lies in declared content."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for page in batch.column("html"):
+                kept = [(t, n, main) for t, n, marked, main in parse(page.as_py() or "")[0] if not marked]
+                out.append(tuple(zip(*kept, strict=True)) or ((), (), ()))
+            texts, nodes, main = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("page_id", "url", "row")), pa.array(texts, pa.list_(pa.string())),
+                 pa.array(nodes, pa.list_(pa.int64())), pa.array(main, pa.list_(pa.bool_()))],
+                ["page_id", "url", "row", "texts", "nodes", "main"],
+            )
+
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.selectExpr("page_id", "url", "CAST(html AS STRING) AS html", f"{_ROW} AS row").mapInArrow(
+        run, f"page_id {kind}, url string, row bigint, texts array<string>, nodes array<bigint>, main array<boolean>"
+    )
+
+
+def statistics(trees: DataFrame) -> DataFrame:
     """(host, node, is_text, feature, n, weight): sums of occurrences c and of c ln c, of styles and of pieces of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple, list[float]] = {}
-            for host, texts, nodes, styles in zip(*(batch.column(c).to_pylist() for c in ("host", "texts", "nodes", "styles")), strict=True):
+            for host, styles, owners, pieces in zip(*(batch.column(c).to_pylist() for c in ("host", "styles", "owners", "pieces")), strict=True):
                 here = Counter({(node, False, style): 1 for node, style in zip(styles[0::2], styles[1::2], strict=True)})
-                for text, node in zip(texts, nodes, strict=True):
-                    for piece in _PIECE.findall(text) if node is not None else ():
-                        here[(node, True, _key(piece.strip()))] += 1
+                here.update((node, True, piece) for node, piece in zip(owners, pieces, strict=True))
                 for (node, is_text, feature), c in here.items():
                     held = sums.setdefault((host, node, is_text, feature), [0, 0.0])
                     held[0] += c
@@ -238,7 +258,7 @@ def statistics(loose: DataFrame) -> DataFrame:
                 ["host", "node", "is_text", "feature", "n", "weight"],
             )
 
-    rows = loose.select("host", "texts", "nodes", "styles").mapInArrow(
+    rows = trees.select("host", "styles", "owners", "pieces").mapInArrow(
         run, "host string, node bigint, is_text boolean, feature bigint, n bigint, weight double"
     )
     return rows.groupBy("host", "node", "is_text", "feature").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
@@ -259,24 +279,27 @@ def importance(sums: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame, least: float = LEAST, at_least: int = PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars, n_removed): main text, and the blocks that the tree removed."""
-    # Pages whose text all lies in declared content need nothing from the tree and don't move. The others are parsed once
-    # and stored, for their statistics come first.
-    path = f"{checkpoint_dir(pages.sparkSession).rstrip('/')}/pages-{uuid.uuid4().hex}"
-    _texts(pages, True).withColumn("row", F.expr("xxhash64(page_id, url, texts)")).write.parquet(path)
-    loose = pages.sparkSession.read.parquet(path)
-    low = importance(statistics(loose)).where(f"pages >= {at_least} AND greatest(presentation, content) < {least}").select("host", "node")
+    """(page_id, url, text, n_chars, n_removed, n_spared): main text, the blocks that the tree removed, and those it found unimportant
+    but that stay as declared content."""
+    # Parsed once for the tree, of which hashes are stored, and once for the text. What to cut is stored too: its size is known to
+    # the join then, which moves the texts only if many pages have unimportant blocks.
+    spark = pages.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    trees(pages).write.parquet(f"{path}/pages")
+    grown = spark.read.parquet(f"{path}/pages")
+    low = importance(statistics(grown)).where(f"pages >= {at_least} AND greatest(presentation, content) < {least}").select("host", "node")
     found = (
-        loose.select("page_id", "row", "host", F.explode(F.expr("array_distinct(filter(nodes, n -> n IS NOT NULL))")).alias("node"))
+        grown.select("page_id", "row", "host", F.explode("nodes").alias("node"))
         .join(low, ["host", "node"]).groupBy("page_id", "row").agg(F.collect_set("node").alias("cut"))  # of one page
     )
-    cut = loose.join(found.withColumnsRenamed({"page_id": "_id", "row": "_r"}), F.expr("page_id <=> _id AND row = _r"), "left").selectExpr(
-        "page_id", "url", "texts",
-        "filter(texts, (t, i) -> cut IS NULL OR get(nodes, i) IS NULL OR NOT array_contains(cut, get(nodes, i))) AS left_over",
+    found.selectExpr("page_id AS _id", "row AS _r", "cut").write.parquet(f"{path}/cuts")
+    unimportant = "cut IS NOT NULL AND array_contains(cut, get(nodes, i))"
+    cut = _texts(pages).join(spark.read.parquet(f"{path}/cuts"), F.expr("page_id <=> _id AND row = _r"), "left").selectExpr(
+        "page_id", "url", "texts", f"filter(texts, (t, i) -> NOT ({unimportant}) OR get(main, i)) AS left_over",
+        f"CAST(size(filter(texts, (t, i) -> {unimportant} AND get(main, i))) AS BIGINT) AS n_spared",
     )
-    rest = _texts(pages, False).selectExpr("page_id", "url", "texts", "texts AS left_over")
     text = "array_join(IF(size(left_over) = 0, texts, left_over), '\\n\\n')"
-    return rest.union(cut).selectExpr(
+    return cut.selectExpr(
         "page_id", "url", f"{text} AS text", f"CAST(length({text}) AS BIGINT) AS n_chars",
-        "CAST(IF(size(left_over) = 0, 0, size(texts) - size(left_over)) AS BIGINT) AS n_removed",
+        "CAST(IF(size(left_over) = 0, 0, size(texts) - size(left_over)) AS BIGINT) AS n_removed", "n_spared",
     )

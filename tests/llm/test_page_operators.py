@@ -55,6 +55,15 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in site_tree.extract(pages(spark, rows)).collect()} == {"The same text."}
 
 
+def test_declared_content_enters_the_tree(spark):
+    rows = [(i, "http://h.example.org/", f"<article><div class=by>By the staff.</div><p>Own words {i}.</article>") for i in range(20)]
+    tree = site_tree.importance(site_tree.statistics(site_tree.trees(pages(spark, rows)))).collect()
+    assert sorted((r.pages, round(r.content, 6)) for r in tree) == [(20, 0.0), (20, 1.0)]
+    found = site_tree.extract(pages(spark, rows)).collect()
+    assert {r.text for r in found} == {f"By the staff.\n\nOwn words {i}." for i in range(20)}
+    assert {(r.n_removed, r.n_spared) for r in found} == {(0, 1)}
+
+
 @pytest.mark.parametrize(("url", "host", "path", "rule", "verdict"), [
     ("http://WWW.Example.ORG/es/1?q", "www.example.org", "/es/1", "example.org/es/", "block"),
     ("http://example.org/en/12#x", "example.org", "/en/12", "example.org/en/1", "block"),
