@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from swipesight.llm.words import blocks, longs, mix, ragged, words
 from swipesight.operators.graph import components_of_pairs
-from swipesight.session import settle
+from swipesight.session import release, settle
 
 CLASS_RATIO = 1.5
 FRAGMENT_GRAMS = 2048
@@ -268,10 +268,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     shared = settle(
         filed(docs, n, percent).groupBy("key").agg(F.min("set").alias("l"), F.max("set").alias("h")).where("l <> h").select("key")
     )
+    release(docs.sparkSession)  # all segments, the largest shuffle
     # The bitmap keeps most segments that nobody shares out of the shuffle; the join is exact.
     again = filed(docs, n, percent, _bitmap(shared.selectExpr(f"pmod(key, {KEY_BITS}L) AS at"), KEY_BITS))
     met = settle(again.join(shared, "key").distinct().join(classes.drop("sketch"), "set").select("key", "doc", "n"))
     members = settle(_with_centre(met))
+    release(docs.sparkSession)
     heads = members.where("doc = first").selectExpr("key", "doc AS a", "n AS n_a")
     starred = members.where("doc <> first").selectExpr("key", "doc AS b", "n AS n_b").join(heads, "key")
     near = starred.where(_near_size(percent)).select("a", "b", "n_a", "n_b").distinct()
@@ -279,6 +281,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     labels = components_of_pairs(_nodes(links), links, "a", "b").selectExpr("a AS doc", "component AS label")
 
     open_groups = _open_groups(members, labels)
+    release(docs.sparkSession)  # the sets that the links were counted from
     if not open_groups.isEmpty():
         more = settle(_linked(docs, settle(_across(docs, open_groups, classes, n, percent)), n, percent))
         if not more.isEmpty():

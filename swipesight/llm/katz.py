@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from swipesight.llm.words import blocks, longs, mix, words
-from swipesight.session import checkpoint_dir, settle
+from swipesight.session import checkpoint_dir, release, settle
 
 ADD = 0.1
 SHARE = 2e-6
@@ -227,6 +227,7 @@ def score(docs: DataFrame, held: str = "false", share: float = SHARE) -> DataFra
     # Written, not checkpointed: as Parquet the many zeros take no room.
     path = f"{checkpoint_dir(spark).rstrip('/')}/bigrams-{uuid.uuid4().hex}"
     bigram_sums(source, model, own).write.partitionBy("kind").parquet(path)
+    release(spark)  # the bigrams, the largest shuffle
     sums = spark.read.schema("row bigint, history bigint, " + ", ".join(f"v{i} double" for i in range(8)) + ", kind string").parquet(path)
 
     of_counts = sums.where("kind = 'history'").agg(*(F.coalesce(F.sum(f"v{r}"), F.lit(0.0)).alias(f"n{r}") for r in range(1, CUTOFF + 2))).first()
