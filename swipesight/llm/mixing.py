@@ -20,7 +20,6 @@ a doc_id are documents of their own, in a fixed order by text. An empty table gi
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +34,14 @@ SLOTS = 4096
 
 
 def with_size(docs: DataFrame) -> DataFrame:
-    """Adds `size`, the words of the text. Columns keep their order."""
+    """Adds `size`, the words of the text. Only the text goes to Python and only sizes come back; columns keep their order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = [np.diff(words(texts).first) for _, _, texts in blocks(batch)]
-            yield batch.append_column("size", pa.array(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)))
+    @F.arrow_udf(T.LongType())
+    def size(texts: pa.Array) -> pa.Array:
+        sizes = [np.diff(words(some).first) for _, _, some in blocks(pa.RecordBatch.from_arrays([texts], ["text"]))]
+        return pa.array(np.concatenate(sizes) if sizes else np.zeros(0), pa.int64())
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("size", T.LongType())]))
+    return docs.select("*", size(F.col("text").cast("string")).alias("size"))
 
 
 def targets(sizes: dict, weights: dict, most: float = 3) -> dict:

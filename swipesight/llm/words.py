@@ -8,8 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-# Bytes hashed at once: bounds the working memory of a task, whatever the length of an Arrow batch.
-BLOCK_BYTES = 1 << 21
+# Bytes hashed at once: bounds the working memory of a task (about 45 times this), whatever the length of an Arrow batch.
+BLOCK_BYTES = 1 << 19
 
 _RANDOM = np.random.default_rng(20240501)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
