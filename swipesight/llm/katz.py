@@ -4,18 +4,21 @@ Tokens are the words with A-Z lower-cased and one end per text. A model is three
 
 * unigrams: training count of every word. The lowest level is `p1(w) = (c + 0.1) / (N + 0.1 (V + 1))`, one further class
   standing for all words never seen.
-* classes: words that make up more than `share` of the training tokens are classes of their own in bigrams; all others, and
-  words never seen, share one class and are told apart inside it by p1. By its definition this table has at most
-  `1 / share` rows, whatever the corpus, so it may be broadcast; no count is dropped for it.
+* frequent words: those that make up more than `frequent` of the training tokens, at most `1 / frequent` whatever the corpus,
+  so they are numbered and broadcast. Every other word, rare or never seen, goes by its hash; bigrams tell all words apart.
 * bigrams: for each history its mass, the p1 of its followers and the number of followers by count.
 
+With `share` above 0, words not above that share of the training tokens have one class in bigrams, told apart inside it by p1.
+
 A bigram seen c times has `d(c) c / (c(h) + 1)`, with Good-Turing discounts d for c up to 5 from the counts of counts of the
 whole corpus (1 where these are not regular). One count is set aside in each history, so histories with frequent followers only leave mass too. What is left
 goes to the unseen followers by p1, the backoff weight being exactly `(1 - mass seen) / (1 - p1 of the seen)`, so that
 probabilities add up to 1. (A history that every class follows has no one to give it to and falls short by that count.)
 
-Bigrams are shuffled once, as one row for each document and distinct bigram: a row number over a key is at most that of
-documents, however frequent the bigram. Terms of the score are sums over such rows; discounts and backoff weights, known only
+Bigrams are shuffled once, in `PARTS` parts by key hash so that only a part lies on disk at a time, as one row for each document
+and distinct bigram. Those of two frequent words are dealt by both,
+the others by their rare word (the follower, if both are rare): a key has at most a row a document, or as many as a rare word has
+occurrences. All bigrams into a rare word lie together, so its count, and p1, is their sum there, without a join. Terms of the score are sums over such rows; discounts and backoff weights, known only
 after the whole shuffle, are applied to these sums, since `log(d c) = log d + log c`.
 
 Null counts as the empty text (one token, the end). Rows that repeat a doc_id and text are scored alike. Without training
@@ -38,21 +41,26 @@ from swipesight.llm.words import blocks, longs, mix, words
 from swipesight.session import checkpoint_dir, release, settle
 
 ADD = 0.1
-SHARE = 2e-6
+FREQUENT = 2e-6
 CUTOFF = 5  # Good-Turing discounts up to this count
+PARTS = 2
 END = np.uint64(0x1F)  # hash of the end token: no word has it but by chance
 COMBINE = 2_000_000  # distinct words summed up in a task before they are sent on
 
 
 @dataclass
 class Classes:
-    """Hashes (sorted) and counts of the words that are classes; `n`, `v`: training tokens and distinct words."""
+    """Hashes (sorted) and counts of the numbered words; `n`, `v`: training tokens and distinct words.
+
+    All other words share the class `other` if `lumped`, else they have ids below 0.
+    """
 
     hashes: np.ndarray
     counts: np.ndarray
     n: int
     v: int
     texts: int
+    lumped: bool
 
     @property
     def other(self) -> int:
@@ -66,10 +74,11 @@ class Classes:
         return (count + ADD) / (self.n + ADD * (self.v + 1))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
+        rest = np.full(len(hashes), self.other) if self.lumped else -1 - (hashes >> np.uint64(1)).astype(np.int64)
         if not len(self.hashes):
-            return np.zeros(len(hashes), dtype=np.int64)
+            return rest
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, self.other)
+        return np.where(self.hashes[at] == hashes, at, rest)
 
     def mass(self) -> np.ndarray:
         """p1 of each class, the common one last."""
@@ -123,15 +132,15 @@ def unigrams(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def classes(counts: DataFrame, texts: int, share: float) -> Classes:
+def classes(counts: DataFrame, texts: int, share: float, lumped: bool) -> Classes:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     table = counts.where(F.col("n") > share * total.n).toArrow()  # at most 1 / share rows
     hashes = np.ascontiguousarray(table.column("word").to_numpy()).view(np.uint64)
     order = np.argsort(hashes)
-    return Classes(hashes[order], table.column("n").to_numpy()[order].astype(np.int64), total.n, total.v, texts)
+    return Classes(hashes[order], table.column("n").to_numpy()[order].astype(np.int64), total.n, total.v, texts, lumped)
 
 
-def _texts_pass(source: DataFrame, model, kind: str, schema: str) -> DataFrame:
+def _texts_pass(source: DataFrame, model, kind: str, schema: str, part: int = 0) -> DataFrame:
     """One pass over the texts: `kind` is stats, rare or bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +156,10 @@ def _texts_pass(source: DataFrame, model, kind: str, schema: str) -> DataFrame:
                 before = np.empty_like(own)
                 before[1:] = own[:-1]
                 before[first[:-1]] = m.begin
+                known = (own >= 0) & (own != m.other)
                 if kind == "stats":
-                    known = own != m.other
-                    sums = [np.bincount(doc, x, high - low) for x in (np.where(known, mass[own], 0.0), history[before])]
+                    base = np.where(known, mass[np.where(known, own, 0)], 0.0)
+                    sums = [np.bincount(doc, x, high - low) for x in (base, np.where(before < 0, 0.0, history[np.maximum(before, 0)]))]
                     yield pa.RecordBatch.from_arrays(
                         [*(c.slice(low, high - low) for c in (batch.column("row"), batch.column("doc_id"), batch.column("held_out"))),
                          pa.array(np.diff(first)), pa.array(np.bincount(doc, known, high - low).astype(np.int64)),
@@ -157,43 +167,58 @@ def _texts_pass(source: DataFrame, model, kind: str, schema: str) -> DataFrame:
                         ["row", "doc_id", "held_out", "n_tokens", "in_class", "class_score", "history_log"],
                     )
                 elif kind == "rare":
-                    at = np.flatnonzero(own == m.other)
+                    at = np.flatnonzero(~known)
                     if len(at):
                         yield pa.RecordBatch.from_arrays([longs(tokens[at]), pa.array(rows[low:high][doc[at]])], ["word", "row"])
                 else:
-                    pair = before * (m.begin + 1) + own
-                    order = np.lexsort((pair, doc))
-                    pair, doc = pair[order], doc[order]
-                    new = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
-                    n = np.diff(np.append(new, len(pair)))
+                    # a: the rare word, or both numbers; b: the other word, numbers of followers shifted by `width`.
+                    width = m.begin + 1
+                    numbers = np.where(before < 0, before, before * width + own)
+                    a, b = np.where(own < 0, own, numbers), np.where(own < 0, before, np.where(before < 0, own + width, 0))
+                    order = np.flatnonzero(mix(a.view(np.uint64)) % np.uint64(PARTS) == np.uint64(part))
+                    order = order[np.lexsort((b[order], a[order], doc[order]))]
+                    a, b, doc = a[order], b[order], doc[order]
+                    new = np.flatnonzero((np.diff(a, prepend=0) != 0) | (np.diff(b, prepend=0) != 0) | (np.diff(doc, prepend=-1) != 0))
+                    n = np.diff(np.append(new, len(a)))
                     at = doc[new]
                     n = np.where(out[low:high][at], -n, n)  # held-out texts are counted below zero
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[new]), pa.array(rows[low:high][at]), pa.array(n.astype(np.int32))], ["pair", "row", "n"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a[new]), pa.array(b[new]), pa.array(rows[low:high][at]), pa.array(n.astype(np.int32))], ["a", "b", "row", "n"]
+                    )
 
     return source.mapInArrow(run, schema)
 
 
-def bigram_sums(source: DataFrame, model, held: Classes) -> DataFrame:
-    """Sums over the one shuffle of bigrams: (kind, row, history, v0..v7).
+def bigram_sums(source: DataFrame, model, held: Classes, part: int) -> DataFrame:
+    """Sums over the shuffle of a part of the bigrams: (kind, row, history, v0..v7).
 
     doc: v0 = sum n log10 c, v1..v5 = tokens whose bigram has that count. history: v0 = p1 of the followers, v1..v6 = followers with that count,
     v7 = occurrences beyond the cutoff. unseen: v0 = tokens, of one document and history.
     """
     width = held.begin + 1
-    events = _texts_pass(source, model, "bigrams", "pair bigint, row bigint, n int")
+    events = _texts_pass(source, model, "bigrams", "a bigint, b bigint, row bigint, n int", part).repartition("a")
     p1 = source.sparkSession.createDataFrame(
         pa.table({"w": pa.array(np.arange(held.other + 1)), "p1": pa.array(held.mass())})
     )
-    key = Window.partitionBy("pair")
+    key = Window.partitionBy("a", "b")  # lies in the partitions of a
     counted = events.select(
-        "pair", "row", F.abs("n").alias("n"), F.sum(F.expr("greatest(n, 0)")).over(key).alias("c"), F.min("row").over(key).alias("first")
-    ).withColumn("is_first", F.expr("row = first AND c > 0")).withColumn("w", F.expr(f"IF(is_first OR c = 0, pair % {width}, NULL)"))
-    joined = counted.join(F.broadcast(p1), "w", "left")  # at most 1 / share rows
+        "a", "b", "row", F.abs("n").alias("n"), F.expr("greatest(n, 0)").alias("t"), F.sum(F.expr("greatest(n, 0)")).over(key).alias("c"),
+        F.min("row").over(key).alias("first"),
+    )
+    if not held.lumped:
+        counted = counted.withColumn("of_word", F.sum(F.expr(f"IF(b < {width}, t, 0)")).over(Window.partitionBy("a")))
+    counted = counted.selectExpr(
+        "row", "n", "c", "row = first AND c > 0 AS is_first", f"CASE WHEN a >= 0 THEN a DIV {width} WHEN b < {width} THEN b ELSE a END AS h",
+        f"CASE WHEN a >= 0 THEN a % {width} WHEN b >= {width} THEN b - {width} END AS w",
+        "CAST(NULL AS DOUBLE) AS rare_p1" if held.lumped else f"(of_word + {ADD}D) / {held.n + ADD * (held.v + 1)!r}D AS rare_p1",
+    ).withColumn("w", F.expr("IF(is_first OR c = 0, w, NULL)"))
+    # At most 1 / frequent rows. Rare followers have no number.
+    joined = counted.withColumn("rare", F.expr("w IS NULL")).join(F.broadcast(p1), "w", "left").withColumn("p1", F.expr("IF(rare, rare_p1, p1)"))
     ranks = ", ".join(f"IF(c = {r}, CAST(n AS DOUBLE), 0D)" for r in range(1, CUTOFF + 1))
     marks = ", ".join(f"IF(c = {r}, 1D, 0D)" for r in range(1, CUTOFF + 2))
     doc = f"struct('doc' AS kind, row, -1L AS history, array(n * log10(c), {ranks}, 0D, 0D) AS v)"
-    history = f"struct('history' AS kind, 0L AS row, pair DIV {width} AS history, array(p1, {marks}, IF(c > {CUTOFF}, CAST(c AS DOUBLE), 0D)) AS v)"
-    unseen = f"struct('unseen' AS kind, row, pair DIV {width} AS history, array(CAST(n AS DOUBLE), n * log10(p1), 0D, 0D, 0D, 0D, 0D, 0D) AS v)"
+    history = f"struct('history' AS kind, 0L AS row, h AS history, array(p1, {marks}, IF(c > {CUTOFF}, CAST(c AS DOUBLE), 0D)) AS v)"
+    unseen = f"struct('unseen' AS kind, row, h AS history, array(CAST(n AS DOUBLE), n * log10(p1), 0D, 0D, 0D, 0D, 0D, 0D) AS v)"
     parts = f"CASE WHEN c = 0 THEN array({unseen}) WHEN is_first THEN array({doc}, {history}) ELSE array({doc}) END"
     flat = joined.select(F.explode(F.expr(parts)).alias("x")).selectExpr(
         "x.kind", "x.row", "x.history", *(f"x.v[{i}] AS v{i}" for i in range(8))
@@ -216,18 +241,19 @@ def discounts(counts_of_counts: list[float]) -> list[float]:
     return out
 
 
-def score(docs: DataFrame, held: str = "false", share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, held: str = "false", share: float = 0.0, frequent: float = FREQUENT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); learned from rows where `held` is not true."""
     spark = docs.sparkSession
     source = _source(docs, held)
     training = source.where("NOT held_out")
     counts = settle(unigrams(training))
-    own = classes(counts, training.count(), share)
+    own = classes(counts, training.count(), share or frequent, share > 0)
     model = spark.sparkContext.broadcast(own)
     # Written, not checkpointed: as Parquet the many zeros take no room.
     path = f"{checkpoint_dir(spark).rstrip('/')}/bigrams-{uuid.uuid4().hex}"
-    bigram_sums(source, model, own).write.partitionBy("kind").parquet(path)
-    release(spark)  # the bigrams, the largest shuffle
+    for part in range(PARTS):
+        bigram_sums(source, model, own, part).write.mode("append").partitionBy("kind").parquet(path)
+        release(spark)  # the bigrams, the largest shuffle
     sums = spark.read.schema("row bigint, history bigint, " + ", ".join(f"v{i} double" for i in range(8)) + ", kind string").parquet(path)
 
     of_counts = sums.where("kind = 'history'").agg(*(F.coalesce(F.sum(f"v{r}"), F.lit(0.0)).alias(f"n{r}") for r in range(1, CUTOFF + 2))).first()
@@ -236,19 +262,24 @@ def score(docs: DataFrame, held: str = "false", share: float = SHARE) -> DataFra
     # Occurrences of a history that its followers keep after discounting, and its exact backoff weight.
     kept = " + ".join(["v7", f"{CUTOFF + 1} * 0 * v{CUTOFF + 1}", *(f"{d[r - 1]!r}D * {r} * v{r}" for r in range(1, CUTOFF + 1))])
     times = spark.createDataFrame(pa.table({"history": pa.array(np.arange(own.begin + 1)), "times": pa.array(own.history().astype(float))}))
-    weights = times.join(sums.where("kind = 'history'"), "history", "left").selectExpr(
-        "history", f"IF(v0 IS NULL, 1D, greatest(1D - ({kept}) / (times + 1), 1e-300) / greatest(1D - v0, 1e-300)) AS alpha", "log10(times + 1) AS times_log",
-    )
+    alpha = f"IF(v0 IS NULL, 1D, greatest(1D - ({kept}) / (times + 1), 1e-300) / greatest(1D - v0, 1e-300)) AS alpha"
+    total = [F.sum(f"v{i}").alias(f"v{i}") for i in range(8)]
+    histories = sums.where("kind = 'history'").groupBy("history").agg(*total)
+    weights = times.join(histories.where("history >= 0"), "history", "left").selectExpr("history", alpha, "log10(times + 1) AS times_log")
+    occurrences = " + ".join(["v7", *(f"{r} * v{r}" for r in range(1, CUTOFF + 1))])
+    rare_weights = histories.where("history < 0").withColumn("times", F.expr(occurrences)).selectExpr("history", alpha, "log10(times + 1) AS times_log")
     # In an unseen history the whole mass is backed off; the log of its count, taken off for all tokens, is given back.
-    unseen = sums.where("kind = 'unseen'").join(F.broadcast(weights), "history").groupBy("row").agg(
-        F.expr("sum(v0 * (log10(alpha) + times_log) + v1)").alias("backed_off")
-    )
-    seen = sums.where("kind = 'doc'").selectExpr("row", " + ".join(["v0", *(f"({log_d[r - 1]!r}D) * v{r}" for r in range(1, CUTOFF + 1))]) + " AS seen")
+    backed = sums.where("kind = 'unseen'").select("row", "history", "v0", "v1")
+    unseen = backed.where("history >= 0").join(F.broadcast(weights), "history").unionByName(
+        backed.where("history < 0").join(rare_weights, "history", "left").na.fill({"alpha": 1.0, "times_log": 0.0})
+    ).groupBy("row").agg(F.expr("sum(v0 * (log10(alpha) + times_log) + v1)").alias("backed_off"))
+    seen = sums.where("kind = 'doc'").groupBy("row").agg(*total).selectExpr("row", " + ".join(["v0", *(f"({log_d[r - 1]!r}D) * v{r}" for r in range(1, CUTOFF + 1))]) + " AS seen")
 
     floor = f"log10({own.p1(0)!r}D)"
     rare = _texts_pass(source, model, "rare", "word bigint, row bigint").join(counts, "word", "left").groupBy("row").agg(
         F.expr("count(n)").alias("known"), F.expr("count(1)").alias("rare"),
         F.expr(f"sum(coalesce(log10((n + {ADD}D) / {own.n + ADD * (own.v + 1)!r}D), {floor}))").alias("rare_score"),
+        F.expr(f"sum(IF(word = {END}L, 0D, log10(coalesce(n, 0L) + 1D)))").alias("rare_history"),
     )
     stats = _texts_pass(
         source, model, "stats", f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, in_class bigint, class_score double, history_log double"
@@ -258,9 +289,10 @@ def score(docs: DataFrame, held: str = "false", share: float = SHARE) -> DataFra
     joined = stats.join(copies, "row")
     for part in (rare, seen, unseen):
         joined = joined.join(part, "row", "left")
-    inside = float(np.log10(own.mass()[-1]))
+    # Rare words are told apart inside their class, or are histories of their own.
+    rest = f"coalesce(rare_score, 0D) - ({float(np.log10(own.mass()[-1]))!r}D) * coalesce(rare, 0L)" if own.lumped else "- coalesce(rare_history, 0D)"
     return joined.selectExpr(
         "doc_id", "held_out", "n_tokens", "in_class + coalesce(known, 0L) DIV copies AS n_known", f"{own.n}L AS train_tokens",
         "class_score + coalesce(rare_score, 0D) / copies AS base_score",
-        f"(coalesce(seen, 0D) + coalesce(backed_off, 0D) + coalesce(rare_score, 0D) - ({inside!r}D) * coalesce(rare, 0L)) / copies - history_log AS score",
+        f"(coalesce(seen, 0D) + coalesce(backed_off, 0D) + ({rest})) / copies - history_log AS score",
     )

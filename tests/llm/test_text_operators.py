@@ -109,6 +109,21 @@ def test_katz_against_brute_force(spark, texts):
         assert r.score == pytest.approx(model.score(text[r.doc_id]), abs=1e-6)
 
 
+@pytest.mark.parametrize("frequent", [1e-2, 0.5])
+def test_katz_tells_rare_words_apart_in_bigrams(spark, texts, frequent):
+    # In one common class, the bigrams of rare words would be seen ones.
+    rows = [*texts[:8], (900, None), (901, "rare1 rare2 the rare3"), (904, "rare2 rare1 the rare3 never seen"), (10, "rare3 rare1 never of")]
+    rows += [(1000 + i, f"rare1 rare2 the word{i}") for i in range(30)]
+    held = "doc_id % 7 = 0 OR doc_id = 10"
+    model = brute.Katz([t for d, t in rows if d % 7 and d != 10], 0.0, katz.CUTOFF, katz.discounts)
+    by_id = {d: [t for e, t in rows if e == d] for d, _ in rows}
+    found = katz.score(table(spark, rows), held, frequent=frequent).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert any(r.score == pytest.approx(model.score(t), abs=1e-6) for t in by_id[r.doc_id])
+        assert any(r.base_score == pytest.approx(sum(brute.log10(model.p1(w)) for w in [*brute.words(t), b"\x00end"]), abs=1e-6) for t in by_id[r.doc_id])
+
+
 def test_katz_adds_up_to_one():
     model = brute.Katz(["a b a c", "a b b", "c a d"], 0.0, katz.CUTOFF, katz.discounts)
     for h in ["<begin>", b"a", b"b", b"c", b"d"]:
