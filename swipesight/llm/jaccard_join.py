@@ -38,6 +38,7 @@ CLASS_RATIO = 1.5
 FRAGMENT_GRAMS = 2048
 BITMAP_BITS = 1 << 24
 KEY_BITS = 1 << 28
+PIECE_BITS = 1 << 26
 SKETCH_BITS = 1024
 BROADCAST_IDS = 1_000_000
 SIGNATURE = "doc_id bigint, n_shingles bigint, set bigint, sketch array<bigint>"
@@ -175,9 +176,10 @@ def filed(docs: DataFrame, n: int, percent: int, wanted: Broadcast | None = None
 def _bitmap(places: DataFrame, bits: int) -> Broadcast:
     """Bitmap of fixed size with the places `at` (from 0) of a frame set."""
     one = places.selectExpr("at + 1 AS at").selectExpr("bitmap_bucket_number(at) AS bucket", "bitmap_bit_position(at) AS position")
-    parts = one.repartition("bucket").groupBy("bucket").agg(F.expr("bitmap_construct_agg(position)").alias("bits"))
+    parts = settle(one.repartition("bucket").groupBy("bucket").agg(F.expr("bitmap_construct_agg(position)").alias("bits")))
     flags = np.zeros(max(bits // 8, 4096), dtype=np.uint8)
-    for row in parts.toLocalIterator():  # at most `bits` / 32768 rows of 4 KB
+    # At most `bits` / 32768 rows of 4 KB. One job for about 8 MB, not for each shuffle partition: the driver keeps something of every job.
+    for row in parts.coalesce(max(1, bits // PIECE_BITS)).toLocalIterator():
         low = (row.bucket - 1) * 4096
         flags[low : low + 4096] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
     return places.sparkSession.sparkContext.broadcast(flags)
@@ -278,12 +280,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     starred = members.where("doc <> first").selectExpr("key", "doc AS b", "n AS n_b").join(heads, "key")
     near = starred.where(_near_size(percent)).select("a", "b", "n_a", "n_b").distinct()
     links = settle(_linked(docs, settle(_plausible(near, classes, percent)), n, percent))
+    release(docs.sparkSession)  # the sets that the links were counted from
     labels = components_of_pairs(_nodes(links), links, "a", "b").selectExpr("a AS doc", "component AS label")
 
     open_groups = _open_groups(members, labels)
-    release(docs.sparkSession)  # the sets that the links were counted from
+    release(docs.sparkSession)
     if not open_groups.isEmpty():
         more = settle(_linked(docs, settle(_across(docs, open_groups, classes, n, percent)), n, percent))
+        release(docs.sparkSession)
         if not more.isEmpty():
             links = settle(links.union(more))
             labels = components_of_pairs(_nodes(links), links, "a", "b").selectExpr("a AS doc", "component AS label")
