@@ -30,6 +30,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from math import log10
 
 import numpy as np
@@ -66,6 +67,21 @@ class Classes:
     def other(self) -> int:
         return len(self.hashes)
 
+    @cached_property
+    def shift(self) -> np.uint64:
+        """Bits below those that tell the slots apart, about two to eight for each hash."""
+        return np.uint64(62 - max(1, len(self.hashes)).bit_length())
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """The place in `hashes` at which each slot starts."""
+        slots = np.arange(1 << int(np.uint64(64) - self.shift), dtype=np.uint64) << self.shift
+        return np.searchsorted(self.hashes, slots)
+
+    @cached_property
+    def padded(self) -> np.ndarray:
+        return np.append(self.hashes, np.uint64(2**64 - 1))
+
     @property
     def begin(self) -> int:
         return len(self.hashes) + 1
@@ -77,8 +93,13 @@ class Classes:
         rest = np.full(len(hashes), self.other) if self.lumped else -1 - (hashes >> np.uint64(1)).astype(np.int64)
         if not len(self.hashes):
             return rest
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, rest)
+        # Hashes are spread evenly, so a few steps from the start of a slot lead to the place.
+        at = self.slots[hashes >> self.shift]
+        ahead = np.flatnonzero(self.padded[at] < hashes)
+        while len(ahead):
+            at[ahead] += 1
+            ahead = ahead[self.padded[at[ahead]] < hashes[ahead]]
+        return np.where((self.padded[at] == hashes) & (at < self.other), at, rest)
 
     def mass(self) -> np.ndarray:
         """p1 of each class, the common one last."""
@@ -97,6 +118,18 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(found.hash, ends, END), found.first + np.arange(len(found.first))
 
 
+def _by_bigram(doc: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, docs: int) -> np.ndarray:
+    """Order in which the same bigrams of a document lie together: by document and a hash, which one sort does."""
+    bits = np.uint64(max(1, docs).bit_length())
+    with np.errstate(over="ignore"):
+        key = (mix(key + b.view(np.uint64)) >> bits) | (doc.astype(np.uint64) << (np.uint64(64) - bits))
+    order = np.argsort(key)
+    key, a_at, b_at = key[order], a[order], b[order]
+    if np.any((key[1:] == key[:-1]) & ((a_at[1:] != a_at[:-1]) | (b_at[1:] != b_at[:-1]))):
+        return np.lexsort((b, a, doc))  # two bigrams have one hash
+    return order
+
+
 def _source(docs: DataFrame, held: str) -> DataFrame:
     text = docs.selectExpr("doc_id", "coalesce(CAST(text AS STRING), '') AS text", f"coalesce({held}, false) AS held_out")
     return text.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -175,8 +208,10 @@ def _texts_pass(source: DataFrame, model, kind: str, schema: str, part: int = 0)
                     width = m.begin + 1
                     numbers = np.where(before < 0, before, before * width + own)
                     a, b = np.where(own < 0, own, numbers), np.where(own < 0, before, np.where(before < 0, own + width, 0))
-                    order = np.flatnonzero(mix(a.view(np.uint64)) % np.uint64(PARTS) == np.uint64(part))
-                    order = order[np.lexsort((b[order], a[order], doc[order]))]
+                    key = mix(a.view(np.uint64))
+                    order = np.flatnonzero(key % np.uint64(PARTS) == np.uint64(part))
+                    a, b, doc = a[order], b[order], doc[order]
+                    order = _by_bigram(doc, key[order], a, b, high - low)
                     a, b, doc = a[order], b[order], doc[order]
                     new = np.flatnonzero((np.diff(a, prepend=0) != 0) | (np.diff(b, prepend=0) != 0) | (np.diff(doc, prepend=-1) != 0))
                     n = np.diff(np.append(new, len(a)))
@@ -214,16 +249,19 @@ def bigram_sums(source: DataFrame, model, held: Classes, part: int) -> DataFrame
     ).withColumn("w", F.expr("IF(is_first OR c = 0, w, NULL)"))
     # At most 1 / frequent rows. Rare followers have no number.
     joined = counted.withColumn("rare", F.expr("w IS NULL")).join(F.broadcast(p1), "w", "left").withColumn("p1", F.expr("IF(rare, rare_p1, p1)"))
-    ranks = ", ".join(f"IF(c = {r}, CAST(n AS DOUBLE), 0D)" for r in range(1, CUTOFF + 1))
-    marks = ", ".join(f"IF(c = {r}, 1D, 0D)" for r in range(1, CUTOFF + 2))
-    doc = f"struct('doc' AS kind, row, -1L AS history, array(n * log10(c), {ranks}, 0D, 0D) AS v)"
-    history = f"struct('history' AS kind, 0L AS row, h AS history, array(p1, {marks}, IF(c > {CUTOFF}, CAST(c AS DOUBLE), 0D)) AS v)"
-    unseen = f"struct('unseen' AS kind, row, h AS history, array(CAST(n AS DOUBLE), n * log10(p1), 0D, 0D, 0D, 0D, 0D, 0D) AS v)"
-    parts = f"CASE WHEN c = 0 THEN array({unseen}) WHEN is_first THEN array({doc}, {history}) ELSE array({doc}) END"
-    flat = joined.select(F.explode(F.expr(parts)).alias("x")).selectExpr(
-        "x.kind", "x.row", "x.history", *(f"x.v[{i}] AS v{i}" for i in range(8))
-    )
-    return flat.groupBy("kind", "row", "history").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(8)))
+    # The rows made here are many: kinds are numbers and values plain columns, without an array for each.
+    flat = joined.withColumn("kind", F.explode(F.expr("CASE WHEN c = 0 THEN array(2) WHEN is_first THEN array(0, 1) ELSE array(0) END")))
+    times = "IF(kind = 0, CAST(n AS DOUBLE), 1D)"
+    values = [
+        "CASE kind WHEN 0 THEN n * log10(c) WHEN 1 THEN p1 ELSE CAST(n AS DOUBLE) END",
+        f"CASE WHEN c = 1 THEN {times} WHEN c = 0 THEN n * log10(p1) ELSE 0D END",
+        *(f"IF(c = {r}, {times}, 0D)" for r in range(2, CUTOFF + 1)),
+        f"IF(kind = 1 AND c = {CUTOFF + 1}, 1D, 0D)",
+        f"IF(kind = 1 AND c > {CUTOFF}, CAST(c AS DOUBLE), 0D)",
+    ]
+    flat = flat.selectExpr("kind", "IF(kind = 1, 0L, row) AS row", "IF(kind = 0, -1L, h) AS history", *(f"{v} AS v{i}" for i, v in enumerate(values)))
+    summed = flat.groupBy("kind", "row", "history").agg(*(F.sum(f"v{i}").alias(f"v{i}") for i in range(8)))
+    return summed.withColumn("kind", F.expr("element_at(array('doc', 'history', 'unseen'), kind + 1)"))
 
 
 def discounts(counts_of_counts: list[float]) -> list[float]:

@@ -14,8 +14,6 @@ BLOCK_BYTES = 1 << 19
 _RANDOM = np.random.default_rng(20240501)
 _BYTE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -53,37 +51,48 @@ class Words:
         return self.data[self.start[i] : self.end[i]]
 
 
-def _powers(n: int) -> np.ndarray:
+def _powers(step: int, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _STEP, dtype=np.uint64))])
+        return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, step, dtype=np.uint64))])
 
 
-_POWERS = _powers(255)
+# Powers by place in the block, and those of the inverse, which take a word back to its own first place.
+_INVERSE = pow(int(_STEP), -1, 1 << 64)
+_POWERS, _BACK = _powers(int(_STEP), 1 << 16), _powers(_INVERSE, 1 << 16)
+
+
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers for a block of n bytes, kept for the next one but for that of a very long text."""
+    global _POWERS, _BACK
+    if n <= len(_POWERS):
+        return _POWERS, _BACK
+    room = max(n, min(2 * n, 2 * BLOCK_BYTES))
+    grown = _powers(int(_STEP), room), _powers(_INVERSE, room)
+    if room <= 2 * BLOCK_BYTES:
+        _POWERS, _BACK = grown
+    return grown
 
 
 def words(texts: list[bytes], between: np.ndarray = SPACE) -> Words:
     """Words of the texts with A-Z lower-cased. The separator between texts is a white space."""
-    global _POWERS
-    data = b"\n".join(texts) + b"\n"
-    raw = LOWER[np.frombuffer(data, dtype=np.uint8)]
+    data = (b"\n".join(texts) + b"\n").lower()  # of bytes: A-Z only
+    raw = np.frombuffer(data, dtype=np.uint8)
     inside = ~between[raw]
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0))
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.insert(edge, 0, 0)
     start, end = edge[0::2], edge[1::2]
     begins = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
     first = np.searchsorted(start, begins)
     if not len(start):
         return Words(np.zeros(0, np.uint64), first, start, end, data)
-    longest = int((end - start).max())
-    if longest > len(_POWERS):
-        _POWERS = _powers(longest)
-    at = np.flatnonzero(inside)
-    lengths = end - start
-    offset = np.cumsum(lengths) - lengths
+    powers, back = _powers_to(len(raw))
     with np.errstate(over="ignore"):
-        value = _BYTE[raw[at]] * _POWERS[np.arange(len(at)) - np.repeat(offset, lengths)]
-        total = np.add.reduceat(value, offset) + lengths.astype(np.uint64)
-    return Words(mix(total), first, start, end, raw.tobytes())
+        value = np.where(between, np.uint64(0), _BYTE)[raw]
+        value *= powers[: len(raw)]
+        total = np.add.reduceat(value, start) * back[start] + (end - start).astype(np.uint64)
+    return Words(mix(total), first, start, end, data)
 
 
 def blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, list[bytes]]]:
