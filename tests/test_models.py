@@ -200,3 +200,22 @@ def test_training_rows_are_dealt_into_few_parts(spark):
     assert held.select("transaction_id").distinct().count() == 3000
     small, n = mo.training_rows(rows.limit(50).coalesce(3))
     assert n == 50 and small.rdd.getNumPartitions() <= 3
+
+
+def test_nearest_goes_in_rounds_of_few_probes_and_stays_exact(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 6))
+    df = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(x)], "pid string, x array<double>")
+    settled = []
+    monkeypatch.setattr(rs, "settle", lambda frame, keep=rs.settle: settled.append(frame) or keep(frame))
+    monkeypatch.setattr(rs, "ROUND_PROBES", 1)
+    got = {}
+    for r in rs.nearest(df.select(F.col("pid").alias("qid"), "x"), df, 3, 20, 30).collect():
+        got.setdefault(r["qid"], {})[r["rank"]] = (r["pid"], r["distance"])
+    assert len(settled) > 5  # two steps, then each round: the disk holds one round, not all probes
+    for i in range(600):
+        far = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        far[i] = np.inf
+        want = np.argsort(far)[:3]
+        assert [got[f"p{i:03d}"][k][0] for k in (1, 2, 3)] == [f"p{j:03d}" for j in want]
+        assert [got[f"p{i:03d}"][k][1] for k in (1, 2, 3)] == pytest.approx(far[want].tolist())
