@@ -219,3 +219,20 @@ def test_nearest_goes_in_rounds_of_few_probes_and_stays_exact(spark, monkeypatch
         want = np.argsort(far)[:3]
         assert [got[f"p{i:03d}"][k][0] for k in (1, 2, 3)] == [f"p{j:03d}" for j in want]
         assert [got[f"p{i:03d}"][k][1] for k in (1, 2, 3)] == pytest.approx(far[want].tolist())
+
+
+def test_training_reads_the_prepared_table_once(spark):
+    """Every fitted stage read the transactions anew, and every metric the model's predictions."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        reads.add(1)
+        return True
+
+    rows = fixtures.transactions(spark, SMALL)
+    counted = rows.where(seen.asNondeterministic()("transaction_id"))
+    trained = mo.fraud_models(counted, "quick")
+    assert trained.metrics.collect()[0]["error"] == ""
+    assert reads.value == rows.count()
+    assert "ExistingRDD" in trained.predictions._jdf.queryExecution().toString()  # settled, without the model behind it
