@@ -236,3 +236,11 @@ def test_training_reads_the_prepared_table_once(spark):
     assert trained.metrics.collect()[0]["error"] == ""
     assert reads.value == rows.count()
     assert "ExistingRDD" in trained.predictions._jdf.queryExecution().toString()  # settled, without the model behind it
+
+
+def test_forests_keep_nodes_and_tasks_go_by_dozens(spark, monkeypatch):
+    assert mo.estimators(10)["random_forest"].getCacheNodeIds()
+    monkeypatch.setattr(mo, "TRAINING_TASK_ROWS", 100)
+    rows = spark.range(1300).selectExpr("CAST(id AS STRING) AS transaction_id", "CAST(id % 2 AS INT) AS label")
+    held, n = mo.training_rows(rows.repartition(3))
+    assert n == 1300 and held.rdd.getNumPartitions() == 2 * mo.TRAINING_TASKS
